@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.ticks import TickTable, to_price, to_ticks
@@ -146,9 +146,9 @@ def determinism_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as one-sided orders: the flag says bid, ask or, as a trade, neither."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = _items(spark, sf_dir)
     adds = items.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ingest_order"), F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("symbol"),
+        (F.col("l_orderkey") * 64 + F.col("position")).alias("ingest_order"), F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("symbol"),
         F.when(F.col("l_returnflag") == "R", "bid").when(F.col("l_returnflag") == "A", "ask").alias("side"),
         to_ticks(F.col("l_extendedprice"), F.lit("0.01")).alias("price"), F.col("l_quantity").cast("long").alias("size"),
     )
@@ -170,6 +170,12 @@ def chart_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_sequences(chart_json.events(raw, "X", TickTable.uniform()))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their position in the order, as line numbers repeat: an arrival order without ties or a global sort."""
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("position", F.row_number().over(at))
+
+
 def _big(c: str, size: int):
     """A non-negative long, big-endian."""
     return F.unhex(F.lpad(F.hex(c), 2 * size, "0"))
@@ -177,11 +183,11 @@ def _big(c: str, size: int):
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as packets: some orders, some trades, and by turns each fault of a frame or message."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = _items(spark, sf_dir)
     rows = items.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("packet_index"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("ts"),
+        (F.col("l_orderkey") * 64 + F.col("position")).alias("packet_index"), (F.col("l_orderkey") * 1000 + F.col("position")).alias("ts"),
         F.rpad(F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")), 8, " ").alias("name"), F.col("l_returnflag").alias("flag"),
-        to_ticks(F.col("l_extendedprice"), F.lit("0.01")).alias("price"), F.col("l_quantity").cast("long").alias("size"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) % 101).alias("turn"),
+        to_ticks(F.col("l_extendedprice"), F.lit("0.01")).alias("price"), F.col("l_quantity").cast("long").alias("size"), ((F.col("l_orderkey") * 64 + F.col("position")) % 101).alias("turn"),
     )
     side = F.when(F.col("flag") == "R", F.unhex(F.lit("00"))).when(F.col("flag") == "A", F.unhex(F.lit("01")))
     add = F.concat(_big("ts", 8), F.unhex(F.lit("00000001")), F.col("name").cast("binary"), side, _big("price", 8), _big("size", 8))

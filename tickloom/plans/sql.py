@@ -84,10 +84,10 @@ FROM sizes LEFT JOIN first_bad f ON true"""
 
 PACKETS = """
 item AS (
-    SELECT l_orderkey * 8 + l_linenumber AS packet_index, l_orderkey * 1000 + l_linenumber AS ts, 'P' || (l_partkey % 50) AS symbol, l_returnflag AS flag,
-           CAST(round(CAST(l_extendedprice AS DECIMAL(20,10)) * 100, 0) AS BIGINT) AS price, CAST(l_quantity AS BIGINT) AS size, (l_orderkey * 8 + l_linenumber) % 101 AS turn,
+    SELECT l_orderkey * 64 + position AS packet_index, l_orderkey * 1000 + position AS ts, 'P' || (l_partkey % 50) AS symbol, l_returnflag AS flag,
+           CAST(round(CAST(l_extendedprice AS DECIMAL(20,10)) * 100, 0) AS BIGINT) AS price, CAST(l_quantity AS BIGINT) AS size, (l_orderkey * 64 + position) % 101 AS turn,
            CASE l_returnflag WHEN 'R' THEN 'bid' WHEN 'A' THEN 'ask' END AS side
-    FROM lineitem)"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS position FROM lineitem))"""
 BOOK = """coalesce(last_value(CASE WHEN side = 'bid' THEN price END IGNORE NULLS) OVER w, 0) AS bid_px, coalesce(last_value(CASE WHEN side = 'bid' THEN size END IGNORE NULLS) OVER w, 0) AS bid_sz,
        coalesce(last_value(CASE WHEN side = 'ask' THEN price END IGNORE NULLS) OVER w, 0) AS ask_px, coalesce(last_value(CASE WHEN side = 'ask' THEN size END IGNORE NULLS) OVER w, 0) AS ask_sz"""
 ARRIVAL = "WINDOW w AS (PARTITION BY symbol ORDER BY packet_index ROWS UNBOUNDED PRECEDING)"

@@ -91,6 +91,11 @@ def _first_fault(checks: list[tuple[Column, Column | int, Column | str]]) -> Col
     return fault
 
 
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that no filter is pushed through: substituted into each other, the decoders' expressions would grow without bound."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def udp_payload(df: DataFrame, data: str = "data") -> DataFrame:
     """df with payload (null for bad frames) and frame_fault struct<offset, detail> (null for good ones)."""
     d, size = F.col(data), F.length(data)
@@ -111,8 +116,8 @@ def udp_payload(df: DataFrame, data: str = "data") -> DataFrame:
         (length < 8, udp + 4, "invalid udp length"),
         (size < udp + length, udp + 4, "truncated udp payload"),
     ])
-    df = df.withColumn("frame_fault", fault)
-    return df.withColumn("payload", F.when(F.col("frame_fault").isNull(), F.substring(d, udp + 9, (length - 8).cast("int"))))
+    df = _bound(df, "frame_fault", fault)
+    return _bound(df, "payload", F.when(F.col("frame_fault").isNull(), F.substring(d, udp + 9, (length - 8).cast("int"))))
 
 
 def order_message(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -141,7 +146,7 @@ def order_message(df: DataFrame, payload: str = "payload") -> DataFrame:
         (trade & (size > 36), 36, "trailing bytes"),
         (time > F.lit(str((1 << 63) - 1)).cast("decimal(20,0)"), 0, "timestamp out of range"),
     ])
-    df = df.withColumn("message_fault", F.when(p.isNotNull(), fault))
+    df = _bound(df, "message_fault", F.when(p.isNotNull(), fault))
     good = p.isNotNull() & F.col("message_fault").isNull()
     message = F.struct(
         time.cast("long").alias("timestamp_ns"),
@@ -150,7 +155,7 @@ def order_message(df: DataFrame, payload: str = "payload") -> DataFrame:
         F.when(add, signed(p, 21)).otherwise(signed(p, 20)).alias("price"),
         F.when(add, signed(p, 29)).otherwise(signed(p, 28)).alias("size"),
     )
-    return df.withColumn("message", F.when(good, message))
+    return _bound(df, "message", F.when(good, message))
 
 
 def decoded(packets: DataFrame) -> DataFrame:
