@@ -256,6 +256,18 @@ def test_toxicity_query(spark):
     assert np.mean([rows[k].predicted == v for k, v in labels.items()]) > 0.9
 
 
+def test_toxicity_sample_counts_repeats_once(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 2} insult") for k in range(40)] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda rows, labels, rank: seen.append(len(rows)) or fit(rows, labels, rank)
+    try:
+        got = toxicity.toxicity(docs, labels)
+    finally:
+        toxicity.fit = fit
+    assert seen[0] <= 40 and got.count() == 1200
+
+
 def test_empty_tables(spark):
     docs, bench = _docs(spark).limit(0), spark.createDataFrame([], "item_id string, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -11,7 +11,8 @@ the driver's share of the work the same for any corpus. Labels, language, source
 whose crc32(doc_id as text) mod 5 is 0 are held out: neither their labels nor their texts reach the fit. Scoring runs over all rows and whole
 texts; the model that is broadcast has at most `buckets` x (1 + rank) floats.
 
-Null texts count as empty, and empty texts score the bias. Rows whose doc_id is repeated are scored one by one; labels that
+Null texts count as empty, and empty texts score the bias. Rows whose doc_id is repeated are scored one by one, and rows
+that repeat doc_id and text are one row of the sample, so that copies can't outgrow its bound; labels that
 are null, or differ for one doc_id, are not learned from. Without both classes among the labels, scores are the share of ones.
 """
 
@@ -148,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rank: in
     rows = documents(docs).where(~held_out()).select("doc_id", "text", F.xxhash64("text", "doc_id").alias("order"))
     # The sample is drawn before any text moves: ids and hashes are joined and cut, then texts are looked up by id.
     sample = rows.select("doc_id", "order").join(clear, F.col("doc_id") == F.col("of")).orderBy("order", "doc_id").limit(max_rows)
-    chosen = F.broadcast(sample.select(F.col("order").alias("chosen"), "label"))  # max_rows rows at most
-    found = rows.join(chosen, F.col("order") == F.col("chosen")).select("order", "label", "text").mapInArrow(_terms, "order long, label int, terms array<int>").toArrow()
+    chosen = F.broadcast(sample.select(F.col("order").alias("chosen"), "label").distinct())  # max_rows rows at most
+    found = rows.join(chosen, F.col("order") == F.col("chosen")).select("order", "label", "text").mapInArrow(_terms, "order long, label int, terms array<int>").dropDuplicates(["order"]).toArrow()
     at = np.argsort(found.column("order").to_numpy(), kind="stable")
     lists = found.column("terms").combine_chunks().take(pa.array(at)).to_pylist()
     return fit(lists, found.column("label").to_numpy()[at].astype(np.float64), rank)
