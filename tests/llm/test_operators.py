@@ -88,6 +88,25 @@ def test_secrets(spark):
     _secrets_match(table(spark, SF, "documents"))
 
 
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+@pytest.mark.parametrize("letters, length", [(BASE64, 40), (BASE64, 24), ("abcdefghijklmnopqrstuvwxyz0123456789", 32), ("0123456789ABCDEF", 32)])
+def test_secrets_find_planted(spark, letters, length):
+    """Random strings among identifiers, many and few of them."""
+    random = np.random.default_rng(length)
+    names = "request handler config value session account update number window parser buffer output module filter status".split()
+    for n in (1000, 10):
+        rows = []
+        for k in range(2 * n):
+            run = "".join(random.choice(list(letters), length)) if k % 2 else "_".join(random.choice(names, 4))[:length]
+            rows.append((k, f"see {run} here"))
+        got = {r.doc_id: r.n_random for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        found, wrong = sum(got[k] for k in range(1, 2 * n, 2)), sum(got[k] for k in range(0, 2 * n, 2))
+        print(f"{len(letters)} letters, length {length}, {n} planted: {found} found, {wrong} wrong")
+        assert found >= (0.9 if n == 1000 else 0.7) * n and wrong <= 0.1 * max(found, 10)
+
+
 def test_line_dedup_brute_force(spark):
     texts = ["the first line of the text is here\nshort\nthe first line of the text is herE", "the first line of the text is hre\nanother line that nobody shares at all", None, "", "the first lime of the text is hre\nshort"]
     docs = _ids(spark, doc_id=list(range(5)), text=[t or "" for t in texts])

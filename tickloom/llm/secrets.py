@@ -9,12 +9,15 @@ whether its characters are uniform draws of that alphabet:
 * runs of its lower and upper half (two-sided),
 * serial correlation of neighbours (two-sided).
 
-Their least p-value, corrected for three tests, is uniform in (0, 1) for random strings; words and
-identifiers crowd near zero. False discoveries are controlled by length: within each class of length, the
-random strings are estimated from the upper half of the p-values, and the threshold is the least at which no
-more than `fdr` of what passes is estimated to be something else. Short runs, where the tests have
-less power, thus need a higher p-value than long ones. The histogram behind it covers every run of the corpus and
-has at most classes x bins rows, whatever the corpus.
+Their least p-value, corrected for three tests, is ranked among those of random strings of the same alphabet
+size and length (the tests are discrete: by themselves short runs are not uniform). That rank is uniform in (0, 1) for random
+strings, ties being dealt out by a hash of the run; words and identifiers crowd near zero. False discoveries are controlled by
+length: within each class of length, the random strings are estimated from the upper half of the ranks, and the
+threshold is the least at which no more than `fdr` of all that passes is estimated to be something else (step-up: a
+noisy bin further up doesn't matter). Short runs, where the tests have less power, thus need a higher rank than long
+ones. A class of fewer than FEW runs takes the threshold of all classes together; where these are fewer too, a run counts unless the tests
+reject it at `fdr`, as nothing can be estimated. The histogram behind it covers every run of the corpus and has at most
+classes x bins rows, whatever the corpus.
 
 Positions are code points, ends exclusive. They come from the lengths between and inside matches, summed per document by
 windows, so a text with any number of matches takes linear time. Null texts are empty; repeated rows keep a row
@@ -23,6 +26,9 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +46,11 @@ ASSIGNED = 6
 CLASSES = (20, 24, 28, 32, 40, 48, 64, 96, 128)
 BINS = 100
 FDR = 0.05
+#: Runs below which a class of length has no threshold of its own.
+FEW = 100
+#: Lengths whose random strings are drawn to rank p-values; other lengths use the next below. Draws of each.
+DRAWN = (*range(20, 65), 72, 80, 96, 112, 128, 192, 256, 384)
+DRAWS = 3000
 
 _HEX, _LOWER, _UPPER = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings, narrowest first: what their strings match, and their alphabets in order.
@@ -74,8 +85,48 @@ def _normal(z: str) -> str:
     return f"1 / (1 + exp(least(1.5976 * ({z}) + 0.07056 * power({z}, 3), 700)))"
 
 
+def _normal_of(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.minimum(1.5976 * z + 0.07056 * z**3, 700)))
+
+
+def _drawn(letters: int, n: int, random: np.random.Generator) -> np.ndarray:
+    """p, as `tested` gives it, of DRAWS random strings."""
+    x = random.integers(0, letters, (DRAWS, n))
+    counts = np.bincount((x + letters * np.arange(DRAWS)[:, None]).ravel(), minlength=DRAWS * letters).reshape(DRAWS, letters)
+    chi = np.maximum(letters / n * (counts**2).sum(axis=1) - n, 0)
+    z1 = (np.cbrt(chi / (letters - 1)) - (1 - 2 / (9 * (letters - 1)))) / np.sqrt(2 / (9 * (letters - 1)))
+    high = x >= letters / 2
+    runs, two = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1), 2.0 * high.sum(axis=1) * (~high).sum(axis=1)
+    few = two <= n
+    z2 = np.where(few, 9, (runs - (two / n + 1)) / np.sqrt(np.where(few, 1, two * (two - n)) / (n * n * (n - 1))))
+    y = x - x.mean(axis=1, keepdims=True)
+    var, cov = (y * y).sum(axis=1), (y[:, 1:] * y[:, :-1]).sum(axis=1)
+    z3 = np.where(var <= 0, 9, (cov / np.where(var <= 0, 1, var) + 1 / n) * np.sqrt(n))
+    least = np.minimum(_normal_of(z1), 2 * np.minimum(_normal_of(np.abs(z2)), _normal_of(np.abs(z3))))
+    return 1 - (1 - np.minimum(least, 1)) ** 3
+
+
+@lru_cache(maxsize=1)
+def _ranks() -> list[tuple[int, int, list[float]]]:
+    """Letters, length, the BINS - 1 quantiles of p between bins: the same at each call."""
+    random = np.random.default_rng(20)
+    at = np.arange(1, BINS) * DRAWS // BINS
+    return [(k, n, np.sort(_drawn(k, n, random))[at].round(9).tolist()) for k in sorted({len(a) for _, a in ENCODINGS}) for n in DRAWN]
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows with bin: the rank of p among random strings of as many letters and the same length."""
+    table_ = F.broadcast(rows.sparkSession.createDataFrame(_ranks(), "letters int, drawn int, ranks array<double>"))
+    longer = ", ".join(str(n) for n in DRAWN if n >= 64)
+    drawn = F.expr(f"IF(length <= 64, length, try_element_at(filter(array({longer}), d -> d <= length), -1))")
+    rows = rows.withColumn("drawn", drawn).join(table_, ["letters", "drawn"], "left").withColumn("__p", F.round("p", 9))
+    below, until = "size(filter(ranks, r -> r < __p))", "size(filter(ranks, r -> r <= __p))"
+    dealt = f"{below} + cast(floor(pmod(xxhash64(run), 1000) / 1000D * ({until} - {below} + 1)) AS int)"
+    return rows.withColumn("bin", F.expr(f"IF(p IS NULL OR ranks IS NULL, NULL, {dealt})")).drop("ranks", "drawn", "letters", "__p")
+
+
 def tested(rows: DataFrame, run: str = "run") -> DataFrame:
-    """rows with p: how well a run passes for uniform draws; null where `run` is."""
+    """rows with p, how well a run passes for uniform draws, and the letters of its alphabet; null where `run` is."""
     alphabet = F.lit(None).cast("string")
     for matches, letters in reversed(ENCODINGS):
         alphabet = F.when(F.col(run).rlike(matches), F.lit(letters)).otherwise(alphabet)
@@ -94,11 +145,11 @@ def tested(rows: DataFrame, run: str = "run") -> DataFrame:
     rows = rows.withColumn("__z3", F.expr("IF(__var <= 0, 9D, (__cov / __var + 1 / __n) * sqrt(__n))"))
     least = f"least({_normal('__z1')}, 2 * {_normal('abs(__z2)')}, 2 * {_normal('abs(__z3)')})"
     scratch = ("__a", "__k", "__n", "__x", "__chi", "__z1", "__hi", "__runs", "__two", "__z2", "__mean", "__var", "__cov", "__z3")
-    return rows.withColumn("p", F.expr(f"1 - power(1 - least({least}, 1D), 3)")).drop(*scratch)
+    return rows.withColumn("p", F.expr(f"1 - power(1 - least({least}, 1D), 3)")).withColumn("letters", F.length("__a")).drop(*scratch)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id, kind, start, end, counts, p, class, bin, free: a row for each match, and one of nulls for texts without.
+    """row, doc_id, kind, start, end, counts, class, bin, free: a row for each match, and one of nulls for texts without.
 
     free: a run that no pattern span touches.
     """
@@ -106,7 +157,7 @@ def spans(docs: DataFrame) -> DataFrame:
     values = F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGNED)
     matches = F.concat(_matches(0, ASSIGN, values), _matches(1, ACCESS), _matches(2, HEX), _matches(3, RUN, keep=True))
     each = rows.select("row", "doc_id", F.explode_outer(matches).alias("m")).select("row", "doc_id", "m.*")
-    each = tested(each).withColumn("class", F.expr(f"size(filter(array({', '.join(map(str, CLASSES))}), c -> c <= length))")).drop("run")
+    each = ranked(tested(each)).withColumn("class", F.expr(f"size(filter(array({', '.join(map(str, CLASSES))}), c -> c <= length))")).drop("run")
     of_kind = Window.partitionBy("row", "kind").orderBy("number")
     until, before = of_kind.rowsBetween(Window.unboundedPreceding, 0), of_kind.rowsBetween(Window.unboundedPreceding, -1)
     placed = each.repartition("row").withColumn("start", (F.sum("gap").over(until) + F.coalesce(F.sum("length").over(before), F.lit(0)))).withColumn("end", F.col("start") + F.col("length"))
@@ -115,19 +166,25 @@ def spans(docs: DataFrame) -> DataFrame:
     earlier, later = along.rangeBetween(Window.unboundedPreceding, 0), along.rangeBetween(0, Window.unboundedFollowing)
     touched = (F.max(F.when(base, F.col("end"))).over(earlier) > F.col("start")) | (F.min(F.when(base, F.col("start"))).over(later) < F.col("end"))
     placed = placed.withColumn("free", (F.col("kind") == 3) & ~F.coalesce(touched, F.lit(False)))
-    return placed.withColumn("bin", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int")).select("row", "doc_id", "kind", "start", "end", "counts", "class", "bin", "free")
+    return placed.select("row", "doc_id", "kind", "start", "end", "counts", "class", "bin", "free")
 
 
 def thresholds(found: DataFrame, fdr: float = FDR) -> DataFrame:
-    """class, least_bin: within each class of length, the least bin from which on all bins keep the rate."""
-    counted = found.where("free").groupBy("class", "bin").agg(F.count("*").alias("n"))
+    """class, least_bin: for each class of length, the least bin at which all that passes keeps the rate; null: none does."""
+    own = found.where("free").groupBy("class", "bin").agg(F.count("*").alias("n"))
+    # Class 0 is all runs.
+    counted = own.unionByName(own.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(0).alias("class"), "bin", "n"))
+    up, whole = Window.partitionBy("class").orderBy("bin"), Window.partitionBy("class")
     down = Window.partitionBy("class").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("class")
     random = 2 * F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(whole)
-    rated = counted.withColumn("passing", F.sum("n").over(down)).withColumn("rate", 1 - random * (1 - F.col("bin") / BINS) / F.col("passing"))
-    # Bin 0 is where nothing but the tests' failures lies.
-    worst = F.max("rate").over(down)
-    return rated.withColumn("worst", worst).where((F.col("worst") <= fdr) & (F.col("bin") > 0)).groupBy("class").agg(F.min("bin").alias("least_bin"))
+    # Bins that no run has pass what the next above passes: the first of them stands for all. Bin 0 is where nothing but the tests' failures lies.
+    edge = F.greatest(F.coalesce(F.lag("bin").over(up) + 1, F.lit(1)), F.lit(1))
+    rated = counted.withColumn("passing", F.sum("n").over(down)).withColumn("rate", 1 - random * (1 - edge / BINS) / F.col("passing"))
+    least = F.min(F.when((F.col("rate") <= fdr) & (F.col("bin") > 0), F.col("bin")))
+    judged = rated.groupBy("class").agg(F.sum("n").alias("runs"), least.alias("least"))
+    together = judged.where(F.col("class") == 0).select(F.col("runs").alias("all_runs"), F.col("least").alias("all_least"))
+    chosen = F.when(F.col("runs") >= FEW, F.col("least")).when(F.col("all_runs") >= FEW, F.col("all_least")).otherwise(F.lit(max(1, round(fdr * BINS))))
+    return judged.where(F.col("class") > 0).crossJoin(F.broadcast(together)).select("class", chosen.alias("least_bin"))
 
 
 def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
