@@ -133,6 +133,14 @@ def test_line_dedup_brute_force(spark):
     assert line_dedup.dedup_lines(_docs(spark)).count() == len(TEXTS) + 2
 
 
+def test_line_dedup_rows_without_an_id(spark):
+    """Rows that share a doc_id, or have none, lose their own lines alone."""
+    shared, only = "a line that several of the documents share", ["nobody else has this line, the first of its kind", "and what stands here is in no other text"]
+    rows = [(1, shared), (None, f"{shared}\n{only[0]}"), (None, f"{only[1]}\n{shared}"), (None, only[0].upper()), (2, f"{shared}\nx"), (2, only[1].upper())]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id or 0, r.kept_text) for r in got) == sorted([(1, shared), (0, only[0]), (0, only[1]), (0, only[0].upper()), (2, "x"), (2, only[1].upper())])
+
+
 def test_simhash_brute_force(spark):
     import xxhash
 

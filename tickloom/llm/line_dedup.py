@@ -14,8 +14,8 @@ earlier is by doc_id, then by place in the text. Of lines the first occurrence s
    the copies of a line, and each line is compared with the earliest of its key alone, not with all.
 4. Each such pair is verified by its edit distance, on the lines themselves.
 
-Nulls: a null text is an empty line; a null doc_id comes after all others. Rows that repeat a doc_id count as
-one document: what stays at a place of one stays at that place of the others, if the line is the same. Tables
+Nulls: a null text is an empty line; a null doc_id comes after all others. Each row is a document of its own: rows are numbered
+once, rows that share a doc_id (or have none) come in the order of their numbers, and lose their own lines alone. Tables
 may be empty. Texts that lose no line come back unchanged, byte for byte.
 """
 
@@ -27,19 +27,30 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import broadcast_if_small, staged, table
 
 MIN_CHARS = 20
-#: Places of a document's lines, in the order of lines.
-_LINES = 1 << 32
+#: Places of a document's lines, and numbers of rows, in the order of lines.
+_LINES, _ROWS = 1 << 28, 1 << 34
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, in all its columns, staged with __row: numbers from 0 on without gaps."""
+    rows = staged(docs.withColumn("__id", F.monotonically_increasing_id()), "numbered-rows")
+    # Ids hold the writing task above 33 bits: one row for each task comes to the driver.
+    parts, start, offsets = rows.groupBy(F.shiftright("__id", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect(), 0, []
+    for p in parts:
+        offsets.append((p.p, start))
+        start += p.n
+    of = F.broadcast(docs.sparkSession.createDataFrame(offsets, "__part long, __start long"))
+    at = F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(of, F.shiftright("__id", 33) == F.col("__part")).withColumn("__row", at).drop("__id", "__part", "__start")
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """ord (place in the whole corpus), id, place, line: the lines that count."""
-    exploded = docs.select(F.col("doc_id").cast("long").alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
+    """ord (place in the whole corpus), row, place, line: the lines that count, of numbered docs."""
+    exploded = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
     rank = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
-    # The last 24 bits tell lines apart that share id and place, where rows repeat a doc_id with another text.
-    mark = F.xxhash64("line").bitwiseAND(F.lit((1 << 24) - 1))
-    place = (rank * F.lit(str(_LINES)).cast("decimal(10,0)")).cast("decimal(31,0)") + F.col("place")
-    ord_ = (place.cast("decimal(31,0)") * F.lit(1 << 24).cast("decimal(8,0)")).cast("decimal(38,0)") + mark
-    return exploded.where(F.length("line") >= min_chars).select("id", "place", "line", ord_.cast("decimal(38,0)").alias("ord"))
+    of_row = (rank * F.lit(str(_ROWS)).cast("decimal(11,0)")).cast("decimal(32,0)") + F.col("row")
+    ord_ = (of_row.cast("decimal(32,0)") * F.lit(_LINES).cast("decimal(9,0)")).cast("decimal(38,0)") + F.col("place")
+    return exploded.where(F.length("line") >= min_chars).select("row", "place", "line", ord_.cast("decimal(38,0)").alias("ord"))
 
 
 def _halves(line: str) -> Column:
@@ -52,9 +63,9 @@ def _halves(line: str) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """id, places: the places of the lines that go, for each document that loses any."""
+    """row, places: the places of the lines that go, for each of the numbered docs that loses any."""
     lines = _lines(docs, min_chars)
-    occurrences = staged(lines.select("id", "place", "ord", F.unhex(F.sha2("line", 256)).alias("hash"), _halves("line").alias("halves")), "lines")
+    occurrences = staged(lines.select("row", "place", "ord", F.unhex(F.sha2("line", 256)).alias("hash"), _halves("line").alias("halves")), "lines")
     distinct = staged(occurrences.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "distinct-lines")
 
     # Candidates: first occurrences whose halves others share.
@@ -63,7 +74,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     candidates = staged(keys.join(shared, "half").select("ord").distinct(), "line-candidates")
     small = broadcast_if_small(candidates)
-    texts = staged(lines.join(small, "ord", "left_semi").groupBy("ord").agg(F.min("line").alias("line")), "candidate-lines")
+    texts = staged(lines.join(small, "ord", "left_semi").select("ord", "line"), "candidate-lines")
 
     # Variants. Place 0 holds whole lines, and for each variant the row that whole lines look for.
     deletion = "transform(sequence(1, length(line)), i -> struct(i AS place, concat(substring(line, 1, i - 1), substring(line, i + 1)) AS variant))"
@@ -83,18 +94,19 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # Occurrences that go: all of a line with an earlier neighbour, and all but the first of the others.
     close = staged(close.withColumn("near", F.lit(True)), "near-lines")
     judged = distinct.join(broadcast_if_small(close), "first", "left").where("n > 1 OR near").withColumnRenamed("hash", "of")
-    gone = occurrences.select("id", "place", "ord", "hash").join(judged, F.col("hash") == F.col("of")).where("near OR ord <> first")
-    return gone.groupBy("id").agg(F.collect_set("place").alias("places"))
+    gone = occurrences.select("row", "place", "ord", "hash").join(judged, F.col("hash") == F.col("of")).where("near OR ord <> first")
+    return gone.groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs, in all its columns, with two more: kept_text, and __lines with the numbers of lines before and lost."""
-    gone = staged(repeated_lines(docs, min_chars), "lost-lines").withColumnRenamed("id", "__id").withColumnRenamed("places", "__places")
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    columns, docs = docs.columns, numbered(docs)
+    gone = staged(repeated_lines(docs, min_chars), "lost-lines").withColumnRenamed("row", "__gone").withColumnRenamed("places", "__places")
+    joined = docs.join(gone, F.col("__row") == F.col("__gone"), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.expr("transform(array_except(sequence(0, size(__all) - 1), __places), i -> __all[i])")
     return joined.withColumn("__all", lines).select(
-        *(docs[c] for c in docs.columns),
+        *(docs[c] for c in columns),
         F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("__kept"),
         F.size("__all").cast("long").alias("__lines"),
         F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("__lost"),
