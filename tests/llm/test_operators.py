@@ -141,6 +141,12 @@ def test_line_dedup_rows_without_an_id(spark):
     assert sorted((r.doc_id or 0, r.kept_text) for r in got) == sorted([(1, shared), (0, only[0]), (0, only[1]), (0, only[0].upper()), (2, "x"), (2, only[1].upper())])
 
 
+def test_pipeline_drops_short_equal_lines(spark):
+    """Equal lines of any length go, blank ones and short near copies stay."""
+    got = {r.doc_id: r.text for r in line_dedup.strip_documents(_ids(spark, doc_id=[1, 2, 3], text=["menu\n\na", "menu\n\nb\nmenv", "menu"])).collect()}
+    assert got == {1: "menu\n\na", 2: "\nb\nmenv"}
+
+
 def test_simhash_brute_force(spark):
     import xxhash
 

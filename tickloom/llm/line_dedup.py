@@ -2,7 +2,8 @@
 
 A line goes if an earlier line equals it or is one edit away (a character inserted, deleted or replaced);
 earlier is by doc_id, then by place in the text. Of lines the first occurrence stays. Lines of fewer than
-`min_chars` (20) characters are left alone: in them one edit changes the meaning.
+`min_chars` (20) characters have no near copies: in them one edit changes the meaning. Equal lines go if they have
+`equal_chars` characters and are not blank: 1 in the pipeline, 20 in op3_line_dedup, as its SQL has it.
 
 1. Equal lines are one line, known by its SHA-256 and its first occurrence.
 2. Lossless filter: split in halves, two lines one edit apart agree in the first or in the last half of the
@@ -44,13 +45,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.join(of, F.shiftright("__id", 33) == F.col("__part")).withColumn("__row", at).drop("__id", "__part", "__start")
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, equal_chars: int) -> DataFrame:
     """ord (place in the whole corpus), row, place, line: the lines that count, of numbered docs."""
     exploded = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
     rank = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
     of_row = (rank * F.lit(str(_ROWS)).cast("decimal(11,0)")).cast("decimal(32,0)") + F.col("row")
     ord_ = (of_row.cast("decimal(32,0)") * F.lit(_LINES).cast("decimal(9,0)")).cast("decimal(38,0)") + F.col("place")
-    return exploded.where(F.length("line") >= min_chars).select("row", "place", "line", ord_.cast("decimal(38,0)").alias("ord"))
+    return exploded.where((F.length("line") >= equal_chars) & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"\S"))).select("row", "place", "line", ord_.cast("decimal(38,0)").alias("ord"))
 
 
 def _halves(line: str) -> Column:
@@ -62,10 +63,10 @@ def _halves(line: str) -> Column:
     return F.expr(f"array_distinct(array({', '.join(parts)}))")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
     """row, places: the places of the lines that go, for each of the numbered docs that loses any."""
-    lines = _lines(docs, min_chars)
-    occurrences = staged(lines.select("row", "place", "ord", F.unhex(F.sha2("line", 256)).alias("hash"), _halves("line").alias("halves")), "lines")
+    lines = _lines(docs, min(min_chars, equal_chars))
+    occurrences = staged(lines.select("row", "place", "ord", F.unhex(F.sha2("line", 256)).alias("hash"), F.when(F.length("line") >= min_chars, _halves("line")).alias("halves")), "lines")
     distinct = staged(occurrences.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "distinct-lines")
 
     # Candidates: first occurrences whose halves others share.
@@ -98,10 +99,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return gone.groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
     """docs, in all its columns, with two more: kept_text, and __lines with the numbers of lines before and lost."""
     columns, docs = docs.columns, numbered(docs)
-    gone = staged(repeated_lines(docs, min_chars), "lost-lines").withColumnRenamed("row", "__gone").withColumnRenamed("places", "__places")
+    gone = staged(repeated_lines(docs, min_chars, equal_chars), "lost-lines").withColumnRenamed("row", "__gone").withColumnRenamed("places", "__places")
     joined = docs.join(gone, F.col("__row") == F.col("__gone"), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.expr("transform(array_except(sequence(0, size(__all) - 1), __places), i -> __all[i])")
@@ -119,9 +120,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.greatest("__lost", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__kept", F.lit("")).alias("kept_text"))
 
 
-def strip_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def strip_documents(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = 1) -> DataFrame:
     """docs in its own columns, texts without the repeated lines; documents that lose every line go."""
-    out = drop_repeated_lines(docs, min_chars).where((F.col("__lost") < F.col("__lines")) | (F.col("__lost") <= 0))
+    out = drop_repeated_lines(docs, min_chars, equal_chars).where((F.col("__lost") < F.col("__lines")) | (F.col("__lost") <= 0))
     chosen = [F.col("__kept").alias(c) if c == "text" else F.length("__kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*chosen)
 
