@@ -147,6 +147,39 @@ def test_pipeline_drops_short_equal_lines(spark):
     assert got == {1: "menu\n\na", 2: "\nb\nmenv"}
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits, few", [(1, 16), (2, 16), (2, 2), (3, 16)])
+def test_line_dedup_edit_bounds(spark, monkeypatch, edits, few):
+    """Lines at 0 to 4 edits of some of all lengths, against brute force; few: keys go through further rounds."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    random = np.random.default_rng(edits)
+    lines = []
+    for length in (19, 20, 21, 39, 40, 41, 42, 60, 61, 85, 130):
+        base = "".join(random.choice(list("abc "), length))
+        for n in (0, 1, 2, 2, 3, 3, 4):
+            line = base
+            for _ in range(n):
+                at, what = int(random.integers(0, len(line))), int(random.integers(0, 3))
+                line = line[:at] + ("" if what == 0 else "x") + line[at + (what < 2) :]
+            lines.append(line)
+    lines = [lines[k] for k in random.permutation(len(lines))]
+
+    def near(a, b):
+        return a == b or _edits(a, b) <= min(edits, min(len(a), len(b)) // 20)
+
+    gone = [len(x) >= 20 and any(len(y) >= 20 and near(x, y) for y in lines[:k]) for k, x in enumerate(lines)]
+    got = line_dedup.dedup_lines(_ids(spark, doc_id=list(range(len(lines))), text=lines), edits=edits).collect()
+    assert [r.n_removed for r in sorted(got)] == [int(g) for g in gone] and sum(gone) > 10
+
+
 def test_simhash_brute_force(spark):
     import xxhash
 

@@ -1,19 +1,20 @@
-"""Line dedup by a deletion-neighbourhood join, in DataFrame operations alone.
+"""Line dedup by a join of lines that agree but for a few segments, in DataFrame operations alone.
 
-A line goes if an earlier line equals it or is one edit away (a character inserted, deleted or replaced);
-earlier is by doc_id, then by place in the text. Of lines the first occurrence stays. Lines of fewer than
-`min_chars` (20) characters have no near copies: in them one edit changes the meaning. Equal lines go if they have
+A line goes if an earlier line equals it or is within its edit bound (characters inserted, deleted or replaced);
+earlier is by doc_id, then by place in the text. Of lines the first occurrence stays. The bound is one edit for each
+`min_chars` (20) characters of the shorter line, at most `edits`: 2 in the pipeline, 1 in op3_line_dedup, as its SQL has it. So
+shorter lines have no near copies: in them one edit changes the meaning. Equal lines go if they have
 `equal_chars` characters and are not blank: 1 in the pipeline, 20 in op3_line_dedup, as its SQL has it.
 
 1. Equal lines are one line, known by its SHA-256 and its first occurrence.
-2. Lossless filter: split in halves, two lines one edit apart agree in the first or in the last half of the
-   shorter one. A line whose halves nobody shares has no neighbour, and needs no variants.
-3. The others emit their variants within the bound as hashed keys: the line itself, and each string that one
-   deletion leaves, with the place of the deletion. Equal variants meet: lines with the same variant and
-   place differ by a replacement, a line and another's variant by an insertion. As equal lines are one, a key
-   has at most as many lines as there are characters to fill the gap, times its places; no key grows with
-   the copies of a line, and each line is compared with the earliest of its key alone, not with all.
-4. Each such pair is verified by its edit distance, on the lines themselves.
+2. Lossless filter: cut the shorter of two lines k edits apart in k + 1 segments, and the other has one of them unchanged, moved by
+   at most k. A line whose segments nobody shares has no neighbour.
+3. The others are cut in more segments, of which at most k are touched. A key is a choice of k segments and of how each changes in
+   length, with the hash of all that lies between them: a line has as many keys whatever its length, and neighbours
+   share one.
+4. Lines that share a key meet in pairs while they are few. Of keys with many lines, the text of the chosen
+   segments is cut again in the same way, so that the next keys agree in more; after `DEPTH` rounds a few characters are left.
+5. Each pair is verified by its edit distance, on the lines themselves.
 
 Nulls: a null text is an empty line; a null doc_id comes after all others. Each row is a document of its own: rows are numbered
 once, rows that share a doc_id (or have none) come in the order of their numbers, and lose their own lines alone. Tables
@@ -22,12 +23,21 @@ may be empty. Texts that lose no line come back unchanged, byte for byte.
 
 from __future__ import annotations
 
+from itertools import accumulate, combinations, product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import broadcast_if_small, staged, table
 
 MIN_CHARS = 20
+EDITS = 2
+#: Segments by edits; more edits than these have SEGMENTS_MORE more than edits.
+SEGMENTS = {1: 32, 2: 8}
+SEGMENTS_MORE = 3
+#: Lines of a key that meet in pairs without another round, and rounds at most.
+FEW = 16
+DEPTH = 4
 #: Places of a document's lines, and numbers of rows, in the order of lines.
 _LINES, _ROWS = 1 << 28, 1 << 34
 
@@ -54,22 +64,80 @@ def _lines(docs: DataFrame, equal_chars: int) -> DataFrame:
     return exploded.where((F.length("line") >= equal_chars) & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"\S"))).select("row", "place", "line", ord_.cast("decimal(38,0)").alias("ord"))
 
 
-def _halves(line: str) -> Column:
-    """Keys of the halves that a neighbour of equal length, one more or one less would share."""
-    parts = []
-    for size in (f"length({line}) div 2", f"(length({line}) - 1) div 2"):
-        parts.append(f"xxhash64('head', {size}, substring({line}, 1, {size}))")
-        parts.append(f"xxhash64('tail', {size}, right({line}, {size}))")
-    return F.expr(f"array_distinct(array({', '.join(parts)}))")
+def _bound(length: str, min_chars: int, edits: int) -> str:
+    return f"least({edits}, ({length}) div {min_chars})"
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
+def _shared(line: str, min_chars: int, edits: int) -> Column:
+    """Keys of the segments one of which a neighbour shares, as the shorter line or the longer by `more`."""
+    parts = []
+    for k in range(1, edits + 1):
+        for more in range(k + 1):
+            size = f"(length({line}) - {more})"
+            for j in range(k + 1):
+                for by in range(-k, k + 1):
+                    if abs(by) + abs(more - by) <= k and (j > 0 or by == 0) and (j < k or by == more):
+                        start, end = f"({j} * {size} div {k + 1})", f"({j + 1} * {size} div {k + 1})"
+                        key = f"xxhash64({k}, {j}, {size}, substring({line}, 1 + {start} + {by}, {end} - {start}))"
+                        parts.append(f"IF({_bound(size, min_chars, edits)} = {k}, {key}, NULL)")
+    return F.expr(f"array_distinct(filter(array({', '.join(parts)}), x -> x IS NOT NULL))")
+
+
+def _choices(spark: SparkSession, edits: int) -> DataFrame:
+    """k, more (length above the shorter line's), choice, m, w (segments), c (how far what follows each has moved, from 0 on)."""
+    rows = []
+    for k in range(1, edits + 1):
+        m = SEGMENTS.get(k, k + SEGMENTS_MORE)
+        for w in combinations(range(m), k):
+            for d in product(range(-k, k + 1), repeat=k):
+                if sum(map(abs, d)) <= k and sum(d) >= 0:
+                    rows.append((k, sum(d), len(rows), m, list(w), [0, *accumulate(d)]))
+    return spark.createDataFrame(rows, "k int, more int, choice int, m int, w array<int>, c array<int>")
+
+
+#: Where chosen segment i starts and ends in the shorter line, as a place from 0; what lies between them, and the segments.
+_START, _END = "cast(w[{0}] * size div m AS int)", "cast((w[{0}] + 1) * size div m AS int)"
+_BETWEEN = f"transform(sequence(0, k), i -> substring(s, 1 + IF(i = 0, 0, {_END.format('i - 1')}) + c[i], IF(i = k, size, {_START.format('i')}) - IF(i = 0, 0, {_END.format('i - 1')})))"
+_WITHIN = f"array_join(transform(sequence(0, k - 1), i -> substring(s, 1 + {_START.format('i')} + c[i], {_END.format('i')} - {_START.format('i')} + c[i + 1] - c[i])), '')"
+
+
+def _keyed(state: DataFrame, choices: DataFrame, k: str) -> DataFrame:
+    """Rows of state (ord, of, s, and k after the first round) by choices, with size, the length of the shorter line, and key."""
+    each = state.withColumn("more", F.explode(F.expr("sequence(0, most)"))).withColumn("size", F.expr("cast(length(s) - more AS int)"))
+    each = each.withColumn("k", F.expr(f"cast({k} AS int)")).where("size >= 0 AND k >= 1 AND more <= k").join(F.broadcast(choices), ["k", "more"])
+    return each.withColumn("key", F.expr(f"xxhash64(of, k, size, w, {_BETWEEN})"))
+
+
+def _pairs(texts: DataFrame, min_chars: int, edits: int) -> DataFrame:
+    """ord, partner (earlier): the pairs to verify."""
+    choices = _choices(texts.sparkSession, edits)
+    state, k = texts.select("ord", F.lit(0).cast("long").alias("of"), F.col("line").alias("s"), F.lit(edits).alias("most")), _bound("size", min_chars, edits)
+    pairs = []
+    for depth in range(1, DEPTH + 1):
+        key = "OVER (PARTITION BY key)"
+        keyed = _keyed(state, choices, k).select("ord", "of", "key", "choice", "k").repartition("key")
+        met = staged(keyed.selectExpr("*", f"count(*) {key} AS n", f"min(ord) {key} AS least", f"max(ord) {key} AS greatest").where("least < greatest").drop("least", "greatest"), "met-lines")
+        few = met if depth == DEPTH else met.where(F.col("n") <= FEW)
+        pairs.append(few.select("key", "ord").distinct().join(few.select("key", F.col("ord").alias("partner")).distinct(), "key").where("partner < ord").select("ord", "partner").distinct())
+        many = met.where(F.col("n") > FEW)
+        if depth == DEPTH or many.isEmpty():
+            break
+        again = many.select("ord", "of", F.col("key").alias("next"), "choice").distinct()
+        rows = again.join(state.drop("k"), ["ord", "of"]).join(F.broadcast(choices), "choice").withColumn("size", F.expr("cast(length(s) - more AS int)"))
+        state, k = staged(rows.select("ord", F.col("next").alias("of"), F.expr(_WITHIN).alias("s"), "k", F.col("k").alias("most")).distinct(), "lines-again"), "k"
+    out = pairs[0]
+    for p in pairs[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """row, places: the places of the lines that go, for each of the numbered docs that loses any."""
     lines = _lines(docs, min(min_chars, equal_chars))
-    occurrences = staged(lines.select("row", "place", "ord", F.unhex(F.sha2("line", 256)).alias("hash"), F.when(F.length("line") >= min_chars, _halves("line")).alias("halves")), "lines")
+    occurrences = staged(lines.select("row", "place", "ord", F.unhex(F.sha2("line", 256)).alias("hash"), _shared("line", min_chars, edits).alias("halves")), "lines")
     distinct = staged(occurrences.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "distinct-lines")
 
-    # Candidates: first occurrences whose halves others share.
+    # Candidates: first occurrences whose segments others share.
     firsts = occurrences.join(distinct.withColumnRenamed("hash", "of"), (F.col("hash") == F.col("of")) & (F.col("ord") == F.col("first")))
     keys = staged(firsts.select("ord", F.explode("halves").alias("half")).distinct(), "line-halves")
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
@@ -77,20 +145,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int
     small = broadcast_if_small(candidates)
     texts = staged(lines.join(small, "ord", "left_semi").select("ord", "line"), "candidate-lines")
 
-    # Variants. Place 0 holds whole lines, and for each variant the row that whole lines look for.
-    deletion = "transform(sequence(1, length(line)), i -> struct(i AS place, concat(substring(line, 1, i - 1), substring(line, i + 1)) AS variant))"
-    emitted = texts.select("ord", F.explode(F.expr(f"concat(array(struct(0 AS place, line AS variant)), {deletion})")).alias("v"))
-    variants = emitted.select("ord", F.col("v.place").alias("place"), F.xxhash64("v.variant").alias("k1"), F.hash("v.variant").alias("k2"), F.length("v.variant").alias("k3"))
-    variant = "PARTITION BY k1, k2, k3"
-    met = variants.repartition("k1", "k2", "k3").selectExpr(
-        "ord", "place",
-        f"min(ord) OVER ({variant}, place) AS same_place",
-        f"min(IF(place = 0, ord, NULL)) OVER ({variant}) AS whole",
-        f"min(IF(place > 0, ord, NULL)) OVER ({variant}) AS shorter_of",
-    )
-    partners = met.select("ord", F.explode(F.expr("IF(place = 0, array(shorter_of), array(same_place, whole))")).alias("partner")).where("partner < ord").distinct()
+    partners = _pairs(texts, min_chars, edits)
+    bound = _bound("least(length(ours), length(theirs))", min_chars, edits)
+    near = F.expr(" OR ".join(f"({bound} = {k} AND levenshtein(ours, theirs, {k}) >= 0)" for k in range(1, edits + 1)))
     left, right = texts.select("ord", F.col("line").alias("ours")), texts.select(F.col("ord").alias("partner"), F.col("line").alias("theirs"))
-    close = partners.join(left, "ord").join(right, "partner").where(F.levenshtein("ours", "theirs", 1).between(0, 1)).select(F.col("ord").alias("first")).distinct()
+    close = partners.join(left, "ord").join(right, "partner").where(near).select(F.col("ord").alias("first")).distinct()
 
     # Occurrences that go: all of a line with an earlier neighbour, and all but the first of the others.
     close = staged(close.withColumn("near", F.lit(True)), "near-lines")
@@ -99,10 +158,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int
     return gone.groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """docs, in all its columns, with two more: kept_text, and __lines with the numbers of lines before and lost."""
     columns, docs = docs.columns, numbered(docs)
-    gone = staged(repeated_lines(docs, min_chars, equal_chars), "lost-lines").withColumnRenamed("row", "__gone").withColumnRenamed("places", "__places")
+    gone = staged(repeated_lines(docs, min_chars, equal_chars, edits), "lost-lines").withColumnRenamed("row", "__gone").withColumnRenamed("places", "__places")
     joined = docs.join(gone, F.col("__row") == F.col("__gone"), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.expr("transform(array_except(sequence(0, size(__all) - 1), __places), i -> __all[i])")
@@ -114,15 +173,15 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text: a row for each document."""
-    out = drop_repeated_lines(docs.select("doc_id", "text"), min_chars)
+    out = drop_repeated_lines(docs.select("doc_id", "text"), min_chars, edits=edits)
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.greatest("__lost", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__kept", F.lit("")).alias("kept_text"))
 
 
-def strip_documents(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = 1) -> DataFrame:
+def strip_documents(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = 1, edits: int = EDITS) -> DataFrame:
     """docs in its own columns, texts without the repeated lines; documents that lose every line go."""
-    out = drop_repeated_lines(docs, min_chars, equal_chars).where((F.col("__lost") < F.col("__lines")) | (F.col("__lost") <= 0))
+    out = drop_repeated_lines(docs, min_chars, equal_chars, edits).where((F.col("__lost") < F.col("__lines")) | (F.col("__lost") <= 0))
     chosen = [F.col("__kept").alias(c) if c == "text" else F.length("__kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*chosen)
 
