@@ -180,6 +180,14 @@ def test_line_dedup_edit_bounds(spark, monkeypatch, edits, few):
     assert [r.n_removed for r in sorted(got)] == [int(g) for g in gone] and sum(gone) > 10
 
 
+def test_line_dedup_long_lines(spark):
+    """Long near copies: keys take memory in proportion to a line, not to its square."""
+    line = "".join(np.random.default_rng(6).choice(list("abcdefgh "), 60_000))
+    texts = [line, line[:30_000] + "x" + line[30_001:], line[:30_000] + "xyz" + line[30_001:]]
+    got = line_dedup.dedup_lines(_ids(spark, doc_id=[0, 1, 2], text=texts)).collect()
+    assert [r.n_removed for r in sorted(got)] == [0, 1, 0]
+
+
 def test_simhash_brute_force(spark):
     import xxhash
 

@@ -69,11 +69,11 @@ def _bound(length: str, min_chars: int, edits: int) -> str:
 
 
 def _shared(line: str, min_chars: int, edits: int) -> Column:
-    """Keys of the segments one of which a neighbour shares, as the shorter line or the longer by `more`."""
+    """Keys of the segments (of a line of n characters) one of which a neighbour shares, as the shorter line or the longer by `more`."""
     parts = []
     for k in range(1, edits + 1):
         for more in range(k + 1):
-            size = f"(length({line}) - {more})"
+            size = f"(n - {more})"
             for j in range(k + 1):
                 for by in range(-k, k + 1):
                     if abs(by) + abs(more - by) <= k and (j > 0 or by == 0) and (j < k or by == more):
@@ -134,7 +134,7 @@ def _pairs(texts: DataFrame, min_chars: int, edits: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """row, places: the places of the lines that go, for each of the numbered docs that loses any."""
     lines = _lines(docs, min(min_chars, equal_chars))
-    occurrences = staged(lines.select("row", "place", "ord", F.unhex(F.sha2("line", 256)).alias("hash"), _shared("line", min_chars, edits).alias("halves")), "lines")
+    occurrences = staged(lines.withColumn("n", F.length("line")).select("row", "place", "ord", F.unhex(F.sha2("line", 256)).alias("hash"), _shared("line", min_chars, edits).alias("halves")), "lines")
     distinct = staged(occurrences.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "distinct-lines")
 
     # Candidates: first occurrences whose segments others share.
