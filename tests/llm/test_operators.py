@@ -322,6 +322,19 @@ def test_toxicity_learns_interactions():
     assert right.mean() > 0.97
 
 
+def test_toxicity_learns_words_without_marginal_effect():
+    """Toxic with exactly one of two words: each alone says nothing."""
+    random = np.random.default_rng(4)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = random.integers(0, 2, 2)
+        rows.append(toxicity.terms(" ".join(["insult"] * a + ["group"] * b + [f"filler{x}" for x in random.integers(0, 30, 5)])))
+        labels.append(float(a != b))
+    model = toxicity.fit(rows[:3000], np.array(labels[:3000]))
+    right = (model.scores(rows[3000:]) >= 0.5) == np.array(labels[3000:], bool)
+    assert right.mean() > 0.95
+
+
 def test_toxicity_query(spark):
     got = toxicity.op4_toxicity(spark, "/root/testdata/sf0.01")
     rows = {r.doc_id: r for r in got.collect()}

@@ -2,7 +2,8 @@
 
 score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j)
 
-x has an entry for each distinct lower-cased word of a text that its bucket's statistics found worth keeping. The
+x has an entry for each distinct lower-cased word of a text whose bucket LEAST_ROWS rows of the sample have, whether it tells the
+classes apart by itself or not: a word may do so beside another alone. Decay holds back weights that only fit noise (`CHANCE`). The
 linear weights learn what a word says alone; the products of latent vectors learn what two words say together, an insult beside the
 mention of a group, which no linear weight can.
 
@@ -36,6 +37,8 @@ LEAST_ROWS = 5
 #: Bytes of a longer word that stand for its inflections.
 STEM = 5
 EPOCHS = 30
+#: Decay of words without an effect of their own, in standard errors of a mean over the rows.
+CHANCE = 1.0
 #: Of a toxic row in the loss; they are few.
 ONES = 3.0
 SEED = 11
@@ -79,32 +82,29 @@ def fit(rows: list[list[int]], labels: np.ndarray, rank: int = RANK, epochs: int
     share = float(labels.mean()) if len(labels) else 0.5
     bias = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.fromiter((t for r in rows for t in r), np.int64, int(sizes.sum()))
+    flat = np.concatenate([np.empty(0, np.int32), *(np.asarray(r, np.int32) for r in rows)])
     kept, counts = np.unique(flat, return_counts=True)
-    kept = kept[counts >= least_rows]
+    kept = kept[counts >= least_rows].astype(np.int64)
     if not len(kept) or share in (0.0, 1.0):
         return Model(np.empty(0, np.int64), np.empty(0), np.empty((0, rank)), bias)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    at = np.searchsorted(kept, flat).clip(max=len(kept) - 1)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    at = np.searchsorted(kept, flat).clip(max=len(kept) - 1).astype(np.int32)
     present = kept[at] == flat
     at, owner = at[present], owner[present]
+    del flat, present
     bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
 
-    # Words that tell the classes apart in neither direction only add noise; the rest start from their log odds.
+    # Words that tell the classes apart in neither direction stay, for what they say beside others, but start near zero and decay by
+    # as much as chance moves a mean over the rows: what they learn must be more than that.
     ones = np.bincount(at, labels[owner], len(kept))
-    all_ = np.bincount(at, minlength=len(kept))
-    expected = all_ * share
-    z = (ones - expected) / np.sqrt(expected * (1 - share) + 1e-9)
-    useful = np.abs(z) > 3.0
-    index = np.cumsum(useful) - 1
-    chosen = useful[at]
-    at, owner = index[at[chosen]], owner[chosen]
-    bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
-    kept = kept[useful]
+    expected = np.bincount(at, minlength=len(kept)) * share
+    telling = np.abs(ones - expected) / np.sqrt(expected * (1 - share) + 1e-9) > 3.0
+    chance = CHANCE / np.sqrt(len(rows))
+    decay_w, decay_v = np.where(telling, 1e-5, chance), np.where(telling, 1e-4, chance)[:, None]
 
     random = np.random.default_rng(seed)
     w = np.zeros(len(kept))
-    v = random.normal(0, 0.05, (len(kept), rank))
+    v = random.normal(0, 1, (len(kept), rank)) * np.where(telling, 0.05, 0.01)[:, None]
     gw, gv, gb = np.full(len(kept), 1e-2), np.full(v.shape, 1e-2), 1e-2
     for epoch in range(epochs):
         order = random.permutation(len(rows))
@@ -113,22 +113,22 @@ def fit(rows: list[list[int]], labels: np.ndarray, rank: int = RANK, epochs: int
             n = bounds[batch + 1] - bounds[batch]
             take = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in batch]) if n.sum() else np.empty(0, np.int64)
             ids, of = at[take], np.repeat(np.arange(len(batch)), n)
-            sums = np.zeros((len(batch), rank))
-            np.add.at(sums, of, v[ids])
+            sums = np.stack([np.bincount(of, v[ids, r], len(batch)) for r in range(rank)], axis=1)
             squares = np.bincount(of, (v[ids] ** 2).sum(axis=1), len(batch))
             raw = bias + np.bincount(of, w[ids], len(batch)) + 0.5 * ((sums**2).sum(axis=1) - squares)
             error = (1 / (1 + np.exp(-raw.clip(-30, 30))) - labels[batch]) * np.where(labels[batch] > 0, ONES, 1.0)
             grad = error[of]
-            dw = np.bincount(ids, grad, len(kept)) / len(batch) + 1e-5 * w
-            dv = np.zeros_like(v)
-            np.add.at(dv, ids, grad[:, None] * (sums[of] - v[ids]))
-            dv = dv / len(batch) + 1e-4 * v
+            # Of the words of the batch alone: the others have no gradient.
+            seen, which = np.unique(ids, return_inverse=True)
+            dw = np.bincount(which, grad, len(seen)) / len(batch) + decay_w[seen] * w[seen]
+            pull = grad[:, None] * (sums[of] - v[ids])
+            dv = np.stack([np.bincount(which, pull[:, r], len(seen)) for r in range(rank)], axis=1) / len(batch) + decay_v[seen] * v[seen]
             db = error.mean()
-            gw += dw**2
-            gv += dv**2
+            gw[seen] += dw**2
+            gv[seen] += dv**2
             gb += db**2
-            w -= 0.3 * dw / np.sqrt(gw)
-            v -= 0.05 * dv / np.sqrt(gv)
+            w[seen] -= 0.3 * dw / np.sqrt(gw[seen])
+            v[seen] -= 0.05 * dv / np.sqrt(gv[seen])
             bias -= 0.1 * db / np.sqrt(gb)
     return Model(kept, w, v, float(bias))
 
@@ -152,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rank: in
     chosen = F.broadcast(sample.select(F.col("order").alias("chosen"), "label").distinct())  # max_rows rows at most
     found = rows.join(chosen, F.col("order") == F.col("chosen")).select("order", "label", "text").mapInArrow(_terms, "order long, label int, terms array<int>").dropDuplicates(["order"]).toArrow()
     at = np.argsort(found.column("order").to_numpy(), kind="stable")
-    lists = found.column("terms").combine_chunks().take(pa.array(at)).to_pylist()
+    listed = found.column("terms").combine_chunks().take(pa.array(at))
+    lists = np.split(listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy())[:-1]) if len(at) else []
     return fit(lists, found.column("label").to_numpy()[at].astype(np.float64), rank)
 
 
