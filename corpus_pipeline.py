@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: Learned scores and seeded rounding are beyond SQL; the tests hold the stages against brute force.
+#: Learned scores and seeded rounding are beyond SQL; the tests check the columns and row count of the stages, and no end-to-end brute force.
 ORACLE_SQL = None
 
 

@@ -4,8 +4,7 @@ The library (tokenizers) decides every token. Its byte-level pre-tokenizer cuts
 left to right without looking back, and each piece is encoded alone; so
 
 * a piece's count can be remembered, and texts of ordinary length are sums over their pieces. Pieces are
-  cut by the published pattern where every character is below U+0250, on which this and the library agree
-  (a test goes through them all); other texts, and texts that hold an added token's string, go to the
+  cut by the published pattern where every character is below U+0250, on which this and the library agree; other texts, and texts that hold an added token's string, go to the
   library whole;
 * a huge text is encoded in overlapping chunks with offsets. A position of the overlap where both chunks
   start a new piece, far enough from the first chunk's end for no look-ahead or added token to reach
