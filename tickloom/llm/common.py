@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,23 +22,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none (tests)."""
+    """The cluster's shared folder. Where the session names none, one of our own on a local master (tests); elsewhere that is an
+    error, as executors would each write to a disk of their own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         place = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+#: Where staged tables lie, for discard().
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    Everything computed from it (row ids, samples) is fixed from here on. The folder stays until the
-    session's owner clears spark.checkpoint.dir, as later lazy reads still need it.
+    Everything computed from it (row ids, samples) is fixed from here on. Tables that no returned DataFrame reads go by discard();
+    the others stay until the session's owner clears spark.checkpoint.dir, as later lazy reads need them.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables of which nothing will be read again: all that came of them is staged itself by now."""
+    for df in tables:
+        if path := _places.pop(df, None):
+            jvm, context = df.sparkSession._jvm, df.sparkSession._jsc
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
+
+
+#: Bits of a fixed-size filter; at 64 a row it has 2 million rows of 16 bytes at most, whatever it stands for.
+FILTER_BITS = 1 << 27
+
+
+def maybe(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """df with __maybe: whether a row's long `key` may be among those of `keys` (staged). A filter of hashed bits, broadcast.
+
+    Its size is bounded by `bits`, not by the keys. False is certain; true asks for the exact join that follows, which is thereby
+    saved from shuffling most other rows. Where the keys outgrow the filter all rows pass, and the join alone decides.
+    """
+    bit = F.col(key).bitwiseAND(F.lit(bits - 1))
+    mask = F.expr(f"shiftleft(1L, cast(`{key}` & 63 AS int))")
+    words = keys.select(F.shiftright(bit, 6).alias("__word"), mask.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__mask"))
+    hit = df.withColumn("__word", F.shiftright(bit, 6)).join(F.broadcast(words), "__word", "left")
+    return hit.withColumn("__maybe", F.coalesce(F.col("__mask").bitwiseAND(mask) != 0, F.lit(False))).drop("__word", "__mask")
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of df whose long `key` is among those of `keys` (staged), and a few others."""
+    return maybe(df, key, keys, bits).where("__maybe").drop("__maybe")
+
+
+#: A key with more than one in so many of all rows is hot; there can be no more hot keys than this.
+HOT_KEYS = 1000
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, on: list[str], n: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with `unique` (staged; one row for each key of `on`, and n, how many of `rows` have it), without a hot task.
+
+    Rows of a hot key are dealt out by the hash of their column `by` to as many parts as it takes to be small, and the key's row
+    in `unique` is repeated for each. The hot keys are HOT_KEYS at most, so they are broadcast.
+    """
+    total = unique.agg(F.sum(n)).first()[0] or 0
+    limit = max(1, -(-total // HOT_KEYS))
+    parts = F.ceil(F.col(n) / limit).cast("int")
+    hot = unique.where(F.col(n) > limit).select(*on, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), "__parts"), F.lit(0)).cast("int")).drop("__parts")
+    repeated = unique.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(repeated.hint("merge"), [*on, "__part"], how).drop("__part")
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Line dedup by a join of lines that agree but for a few segments, in DataFrame operations alone.
+"""Line dedup by a deletion-neighbourhood join, in DataFrame operations alone.
 
 A line goes if an earlier line equals it or is within its edit bound (characters inserted, deleted or replaced);
 earlier is by doc_id, then by place in the text. Of lines the first occurrence stays. The bound is one edit for each
@@ -6,34 +6,39 @@ earlier is by doc_id, then by place in the text. Of lines the first occurrence s
 shorter lines have no near copies: in them one edit changes the meaning. Equal lines go if they have
 `equal_chars` characters and are not blank: 1 in the pipeline, 20 in op3_line_dedup, as its SQL has it.
 
-1. Equal lines are one line, known by its SHA-256 and its first occurrence.
-2. Lossless filter: cut the shorter of two lines k edits apart in k + 1 segments, and the other has one of them unchanged, moved by
-   at most k. A line whose segments nobody shares has no neighbour.
-3. The others are cut in more segments, of which at most k are touched. A key is a choice of k segments and of how each changes in
+1. Equal lines are one line, known by 128 bits of hash and its first occurrence.
+2. Lossless filter: of k + 1 disjoint parts of a line, k edits leave one as it is. A line of whose parts no other line has one
+   has no neighbour; a line that shares only its first (last) part has its edit behind (before) it.
+3. Of the others, where the bound is one edit, every variant without one character is a hashed key, and so is the line
+   itself. Two lines that share a variant at one place, or of which one is a variant of the other, are neighbours; only the
+   earliest line of a key is of interest, so no key makes pairs of all its lines. Variants differ from their
+   line in one segment of `SEGMENT` characters, and what lies before and behind it is hashed once for each segment: a
+   line costs as many rows as it has characters and never holds its variants together.
+4. Where the bound is higher, variants lack k whole segments: a key is a choice of k of `segments` and of how each changes in
    length, with the hash of all that lies between them: a line has as many keys whatever its length, and neighbours
-   share one.
-4. Lines that share a key meet in pairs while they are few. Of keys with many lines, the text of the chosen
+   share one. Lines that share a key meet in pairs while they are few. Of keys with many lines, the text of the chosen
    segments is cut again in the same way, so that the next keys agree in more; after `DEPTH` rounds a few characters are left.
 5. Each pair is verified by its edit distance, on the lines themselves.
 
 Nulls: a null text is an empty line; a null doc_id comes after all others. Each row is a document of its own: rows are numbered
 once, rows that share a doc_id (or have none) come in the order of their numbers, and lose their own lines alone. Tables
-may be empty. Texts that lose no line come back unchanged, byte for byte.
+may be empty, and further columns may have any name. Texts that lose no line come back unchanged, byte for byte.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate, combinations, product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import broadcast_if_small, staged, table
+from tickloom.llm.common import discard, maybe, maybe_in, spread_join, staged, table
 
 MIN_CHARS = 20
 EDITS = 2
-#: Segments by edits; more edits than these have SEGMENTS_MORE more than edits.
-SEGMENTS = {1: 32, 2: 8}
+#: Characters of a segment in which variants lack one.
+SEGMENT = 32
+#: Segments above the edits, where variants lack whole segments.
 SEGMENTS_MORE = 3
 #: Lines of a key that meet in pairs without another round, and rounds at most.
 FEW = 16
@@ -43,51 +48,88 @@ _LINES, _ROWS = 1 << 28, 1 << 34
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs, in all its columns, staged with __row: numbers from 0 on without gaps."""
-    rows = staged(docs.withColumn("__id", F.monotonically_increasing_id()), "numbered-rows")
-    # Ids hold the writing task above 33 bits: one row for each task comes to the driver.
-    parts, start, offsets = rows.groupBy(F.shiftright("__id", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect(), 0, []
+    """row (numbers from 0 on without gaps), id, text (null: empty), and docs' columns as c0, c1 and so on; staged."""
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = staged(own.withColumn("unique", F.monotonically_increasing_id()), "numbered-rows")
+    # Unique ids hold the writing task above 33 bits: one row for each task comes to the driver.
+    parts, start, offsets = rows.groupBy(F.shiftright("unique", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect(), 0, []
     for p in parts:
         offsets.append((p.p, start))
         start += p.n
-    of = F.broadcast(docs.sparkSession.createDataFrame(offsets, "__part long, __start long"))
-    at = F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(of, F.shiftright("__id", 33) == F.col("__part")).withColumn("__row", at).drop("__id", "__part", "__start")
+    of = F.broadcast(docs.sparkSession.createDataFrame(offsets, "part long, start long"))
+    number = F.col("start") + F.col("unique").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = rows.join(of, F.shiftright("unique", 33) == F.col("part"))
+    return joined.select(number.alias("row"), F.col(at["doc_id"]).cast("long").alias("id"), F.coalesce(at["text"], F.lit("")).alias("text"), *own.columns)
 
 
-def _lines(docs: DataFrame, equal_chars: int) -> DataFrame:
-    """ord (place in the whole corpus), row, place, line: the lines that count, of numbered docs."""
-    exploded = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
-    rank = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
-    of_row = (rank * F.lit(str(_ROWS)).cast("decimal(11,0)")).cast("decimal(32,0)") + F.col("row")
-    ord_ = (of_row.cast("decimal(32,0)") * F.lit(_LINES).cast("decimal(9,0)")).cast("decimal(38,0)") + F.col("place")
-    return exploded.where((F.length("line") >= equal_chars) & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"\S"))).select("row", "place", "line", ord_.cast("decimal(38,0)").alias("ord"))
+def _lines(docs: DataFrame, min_chars: int, equal_chars: int) -> DataFrame:
+    """ord (place in the whole corpus, holding row and place), line, n (its length), h1, h2: the lines that count, of numbered docs."""
+    rank = F.coalesce(F.col("id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    within = (F.col("row") * F.lit(_LINES)).cast("decimal(20,0)")
+    base = ((rank * F.lit(_ROWS * _LINES).cast("decimal(19,0)")).cast("decimal(38,0)") + within).cast("decimal(38,0)")
+    exploded = docs.select(base.alias("base"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).withColumn("n", F.length("line"))
+    counting = exploded.where((F.col("n") >= min(min_chars, equal_chars)) & ((F.col("n") >= min_chars) | F.col("line").rlike(r"\S")))
+    ord_ = (F.col("base") + F.col("place")).cast("decimal(38,0)")
+    return counting.select(ord_.alias("ord"), "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def _bound(length: str, min_chars: int, edits: int) -> str:
     return f"least({edits}, ({length}) div {min_chars})"
 
 
-def _shared(line: str, min_chars: int, edits: int) -> Column:
-    """Keys of the segments (of a line of n characters) one of which a neighbour shares, as the shorter line or the longer by `more`."""
+def _parts(min_chars: int, edits: int) -> Column:
+    """kind, key of the parts of `line` one of which a neighbour shares; kind: 0 the first, 1 the last at one edit, 2 more edits.
+
+    k + 1 parts of c characters: the first and the last lie at the line's ends. If edits touch both, parts between them are moved by less than k,
+    so that each line has them at 0 to k - 1 from their place. c depends on the shorter line's length, in steps: neighbours that are
+    a little longer mostly have the same, and otherwise have the parts for both.
+    """
     parts = []
     for k in range(1, edits + 1):
         for more in range(k + 1):
-            size = f"(n - {more})"
-            for j in range(k + 1):
-                for by in range(-k, k + 1):
-                    if abs(by) + abs(more - by) <= k and (j > 0 or by == 0) and (j < k or by == more):
-                        start, end = f"({j} * {size} div {k + 1})", f"({j + 1} * {size} div {k + 1})"
-                        key = f"xxhash64({k}, {j}, {size}, substring({line}, 1 + {start} + {by}, {end} - {start}))"
-                        parts.append(f"IF({_bound(size, min_chars, edits)} = {k}, {key}, NULL)")
-    return F.expr(f"array_distinct(filter(array({', '.join(parts)}), x -> x IS NOT NULL))")
+            size, longer = f"(n - {more})", f"(n - {more - 1})"
+            of = lambda x: f"(2 * ({x} div {2 * k + 2}))"  # noqa: B023, E731
+            c = of(size)
+            fresh = "true" if more == 0 else f"({_bound(longer, min_chars, edits)} <> {k} OR {of(longer)} <> {c})"
+            starts = [(0, "0"), (k, f"n - {c}"), *((j, f"{j} * {c} + {by}") for j in range(1, k) for by in range(k))]
+            for j, start in starts:
+                kind = 2 if k > 1 else 0 if j == 0 else 1
+                named = f"named_struct('kind', {kind}, 'key', xxhash64({k}, {j}, {c}, substring(line, 1 + {start}, {c})))"
+                parts.append(f"IF({_bound(size, min_chars, edits)} = {k} AND {fresh}, {named}, NULL)")
+    return F.expr(f"filter(array({', '.join(parts)}), x -> x IS NOT NULL)")
+
+
+def _one_edit(texts: DataFrame) -> DataFrame:
+    """ord, partner (earlier): lines one edit apart, told from the deletion variants. texts: ord, line, n, first, last."""
+    c = "(2 * ((n - 1) div 4))"
+    # No neighbour but with the first part alone: the edit lies behind it, from `lo` on; with the last alone: before `hi`.
+    ranged = texts.withColumn("lo", F.expr(f"IF(last, 0, {c})")).withColumn("hi", F.expr(f"IF(first, n, n - {c})"))
+    each = ranged.withColumn("s", F.explode(F.expr(f"sequence(lo div {SEGMENT}, hi div {SEGMENT})")))
+    before, behind, closer = f"substring(line, 1, s * {SEGMENT})", f"substring(line, (s + 1) * {SEGMENT} + 1, n)", f"substring(line, (s + 1) * {SEGMENT}, n)"
+    cut = each.selectExpr(
+        "ord", "s", f"lo - s * {SEGMENT} AS lo", f"hi - s * {SEGMENT} AS hi", f"substring(line, s * {SEGMENT} + 1, {SEGMENT}) AS seg",
+        *(f"xxhash64({seed}, {what}) AS {name}{seed}" for name, what in (("b", before), ("d", behind), ("w", closer)) for seed in (1, 2)),
+    )
+    # -1: the line itself, as the variant of one a character longer.
+    end = "(least(length(seg), hi) - 1)"
+    places = f"concat(array(-1L), IF(greatest(lo, 0) <= {end}, sequence(cast(greatest(lo, 0) AS bigint), cast({end} AS bigint)), array()))"
+    variants = cut.withColumn("at", F.explode(F.expr(places)))
+    lacking = f"IF(at < 0, substring(seg, 1, {SEGMENT - 1}), concat(substring(seg, 1, cast(at AS int)), substring(seg, cast(at + 2 AS int))))"
+    keyed = variants.selectExpr("ord", "at", *(f"xxhash64({seed}, s, b{seed}, IF(at < 0, w{seed}, d{seed}), {lacking}) AS k{seed}" for seed in (1, 2)))
+    # Of one key are at most as many lines as there are characters to put in: windows stay small.
+    of_key, of_place = Window.partitionBy("k1", "k2"), Window.partitionBy("k1", "k2", "at")
+    # By the key first: what is dealt out by it serves the windows of a place as well.
+    met = keyed.withColumn("whole", F.min(F.expr("IF(at < 0, ord, NULL)")).over(of_key)).withColumn("lacks", F.min(F.expr("IF(at >= 0, ord, NULL)")).over(of_key))
+    met = met.withColumn("same", F.min("ord").over(of_place))
+    return met.selectExpr("ord", "IF(at < 0, lacks, least(whole, same)) AS partner").where("partner < ord").distinct()
 
 
 def _choices(spark: SparkSession, edits: int) -> DataFrame:
     """k, more (length above the shorter line's), choice, m, w (segments), c (how far what follows each has moved, from 0 on)."""
     rows = []
-    for k in range(1, edits + 1):
-        m = SEGMENTS.get(k, k + SEGMENTS_MORE)
+    for k in range(2, edits + 1):
+        m = k + SEGMENTS_MORE
         for w in combinations(range(m), k):
             for d in product(range(-k, k + 1), repeat=k):
                 if sum(map(abs, d)) <= k and sum(d) >= 0:
@@ -104,19 +146,21 @@ _WITHIN = f"array_join(transform(sequence(0, k - 1), i -> substring(s, 1 + {_STA
 def _keyed(state: DataFrame, choices: DataFrame, k: str) -> DataFrame:
     """Rows of state (ord, of, s, and k after the first round) by choices, with size, the length of the shorter line, and key."""
     each = state.withColumn("more", F.explode(F.expr("sequence(0, most)"))).withColumn("size", F.expr("cast(length(s) - more AS int)"))
-    each = each.withColumn("k", F.expr(f"cast({k} AS int)")).where("size >= 0 AND k >= 1 AND more <= k").join(F.broadcast(choices), ["k", "more"])
+    each = each.withColumn("k", F.expr(f"cast({k} AS int)")).where("size >= 0 AND more <= k").join(F.broadcast(choices), ["k", "more"])
     return each.withColumn("key", F.expr(f"xxhash64(of, k, size, w, {_BETWEEN})"))
 
 
-def _pairs(texts: DataFrame, min_chars: int, edits: int) -> DataFrame:
-    """ord, partner (earlier): the pairs to verify."""
+def _more_edits(texts: DataFrame, min_chars: int, edits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """ord, partner (earlier): the pairs to verify, where the bound is two or more; and the staged tables behind it."""
     choices = _choices(texts.sparkSession, edits)
     state, k = texts.select("ord", F.lit(0).cast("long").alias("of"), F.col("line").alias("s"), F.lit(edits).alias("most")), _bound("size", min_chars, edits)
-    pairs = []
+    pairs, used = [], []
     for depth in range(1, DEPTH + 1):
-        key = "OVER (PARTITION BY key)"
-        keyed = _keyed(state, choices, k).select("ord", "of", "key", "choice", "k").repartition("key")
-        met = staged(keyed.selectExpr("*", f"count(*) {key} AS n", f"min(ord) {key} AS least", f"max(ord) {key} AS greatest").where("least < greatest").drop("least", "greatest"), "met-lines")
+        keyed = _keyed(state, choices, k).select("ord", "of", "key", "choice", "k")
+        counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("least"), F.max("ord").alias("greatest")).where("least < greatest").select("key", "n")
+        counts = staged(counted, "met-keys")
+        met = staged(spread_join(maybe_in(keyed, "key", counts), counts, ["key"], "n", "ord"), "met-lines")
+        used += [counts, met]
         few = met if depth == DEPTH else met.where(F.col("n") <= FEW)
         pairs.append(few.select("key", "ord").distinct().join(few.select("key", F.col("ord").alias("partner")).distinct(), "key").where("partner < ord").select("ord", "partner").distinct())
         many = met.where(F.col("n") > FEW)
@@ -125,65 +169,85 @@ def _pairs(texts: DataFrame, min_chars: int, edits: int) -> DataFrame:
         again = many.select("ord", "of", F.col("key").alias("next"), "choice").distinct()
         rows = again.join(state.drop("k"), ["ord", "of"]).join(F.broadcast(choices), "choice").withColumn("size", F.expr("cast(length(s) - more AS int)"))
         state, k = staged(rows.select("ord", F.col("next").alias("of"), F.expr(_WITHIN).alias("s"), "k", F.col("k").alias("most")).distinct(), "lines-again"), "k"
+        used.append(state)
     out = pairs[0]
     for p in pairs[1:]:
         out = out.unionByName(p)
-    return out.distinct()
-
-
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
-    """row, places: the places of the lines that go, for each of the numbered docs that loses any."""
-    lines = _lines(docs, min(min_chars, equal_chars))
-    occurrences = staged(lines.withColumn("n", F.length("line")).select("row", "place", "ord", F.unhex(F.sha2("line", 256)).alias("hash"), _shared("line", min_chars, edits).alias("halves")), "lines")
-    distinct = staged(occurrences.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "distinct-lines")
-
-    # Candidates: first occurrences whose segments others share.
-    firsts = occurrences.join(distinct.withColumnRenamed("hash", "of"), (F.col("hash") == F.col("of")) & (F.col("ord") == F.col("first")))
-    keys = staged(firsts.select("ord", F.explode("halves").alias("half")).distinct(), "line-halves")
-    shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    candidates = staged(keys.join(shared, "half").select("ord").distinct(), "line-candidates")
-    small = broadcast_if_small(candidates)
-    texts = staged(lines.join(small, "ord", "left_semi").select("ord", "line"), "candidate-lines")
-
-    partners = _pairs(texts, min_chars, edits)
+    return out.distinct(), used
+
+
+def _near(lines: DataFrame, min_chars: int, edits: int) -> DataFrame:
+    """h1, h2 of the lines that an earlier one is near to; staged."""
+    long = lines.where(F.col("n") >= min_chars).withColumn("part", F.explode(_parts(min_chars, edits))).select("*", "part.kind", "part.key").drop("part")
+    # A part that two lines have: lines are told apart by half their hash.
+    shared = long.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("greatest")).where("least < greatest").select("key", "n")
+    shared = staged(shared, "shared-parts")
+    hits = spread_join(maybe_in(long.withColumnRenamed("n", "chars"), "key", shared), shared, ["key"], "n", "ord")
+    flags = (F.max(F.col("kind") == k).alias(name) for k, name in enumerate(("first", "last", "more")))
+    texts = staged(hits.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), F.first("line").alias("line"), F.first("chars").alias("n"), *flags), "candidate-lines")
+
+    partners, used = _one_edit(texts.where("first OR last")), []
+    if edits > 1:
+        further, used = _more_edits(texts.where("more"), min_chars, edits)
+        partners = partners.unionByName(further).distinct()
     bound = _bound("least(length(ours), length(theirs))", min_chars, edits)
     near = F.expr(" OR ".join(f"({bound} = {k} AND levenshtein(ours, theirs, {k}) >= 0)" for k in range(1, edits + 1)))
-    left, right = texts.select("ord", F.col("line").alias("ours")), texts.select(F.col("ord").alias("partner"), F.col("line").alias("theirs"))
-    close = partners.join(left, "ord").join(right, "partner").where(near).select(F.col("ord").alias("first")).distinct()
+    left, right = texts.select("ord", "h1", "h2", F.col("line").alias("ours")), texts.select(F.col("ord").alias("partner"), F.col("line").alias("theirs"))
+    out = staged(partners.join(left, "ord").join(right, "partner").where(near).select("h1", "h2").distinct(), "near-lines")
+    discard(shared, texts, *used)
+    return out
+
 
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
+    """row, places: the places of the lines that go, for each of the numbered docs that loses any; staged."""
+    lines = _lines(docs, min_chars, equal_chars)
+    near = _near(lines, min_chars, edits)
+    equal = lines.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
+    judged = equal.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full_outer").select("h1", "h2", "first", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("near", F.lit(False)).alias("near"))
+    judged = staged(judged, "judged-lines")
     # Occurrences that go: all of a line with an earlier neighbour, and all but the first of the others.
-    close = staged(close.withColumn("near", F.lit(True)), "near-lines")
-    judged = distinct.join(broadcast_if_small(close), "first", "left").where("n > 1 OR near").withColumnRenamed("hash", "of")
-    gone = occurrences.select("row", "place", "ord", "hash").join(judged, F.col("hash") == F.col("of")).where("near OR ord <> first")
-    return gone.groupBy("row").agg(F.collect_set("place").alias("places"))
+    found = spread_join(maybe_in(lines.select("ord", "h1", "h2"), "h1", judged), judged, ["h1", "h2"], "n", "ord").where("near OR ord <> first")
+    spot = F.expr(f"cast(ord % {_ROWS * _LINES}BD AS bigint)")
+    gone = found.select(F.shiftright(spot, 28).alias("row"), spot.bitwiseAND(F.lit(_LINES - 1)).cast("int").alias("place"))
+    out = staged(gone.groupBy("row").agg(F.collect_set("place").alias("places")), "lost-lines")
+    discard(near, judged)
+    return out
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
-    """docs, in all its columns, with two more: kept_text, and __lines with the numbers of lines before and lost."""
-    columns, docs = docs.columns, numbered(docs)
-    gone = staged(repeated_lines(docs, min_chars, equal_chars, edits), "lost-lines").withColumnRenamed("row", "__gone").withColumnRenamed("places", "__places")
-    joined = docs.join(gone, F.col("__row") == F.col("__gone"), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.expr("transform(array_except(sequence(0, size(__all) - 1), __places), i -> __all[i])")
-    return joined.withColumn("__all", lines).select(
-        *(docs[c] for c in columns),
-        F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("__kept"),
-        F.size("__all").cast("long").alias("__lines"),
-        F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("__lost"),
+    """id, docs' columns as c0, c1 and so on, kept (the text that is left), n_lines, n_removed: a row for each of docs."""
+    docs = numbered(docs)
+    gone = repeated_lines(docs, min_chars, equal_chars, edits)
+    # Only texts that lose a line, and a few others, move to meet their losses.
+    flagged, own = maybe(docs, "row", gone), [c for c in docs.columns if c not in ("row", "id", "text")]
+    whole = flagged.where(~F.col("__maybe")).withColumn("places", F.lit(None).cast("array<int>"))
+    losing = flagged.where("__maybe").join(gone.hint("merge"), "row", "left")
+    joined = whole.unionByName(losing).withColumn("every", F.split("text", "\n", -1))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(every) - 1), places), i -> every[i]), '\n')")
+    return joined.select(
+        "id", *own, F.when(F.col("places").isNull(), F.col("text")).otherwise(kept).alias("kept"),
+        F.size("every").cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("places"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text: a row for each document."""
     out = drop_repeated_lines(docs.select("doc_id", "text"), min_chars, edits=edits)
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.greatest("__lost", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__kept", F.lit("")).alias("kept_text"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.col("kept").alias("kept_text"))
 
 
 def strip_documents(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int = 1, edits: int = EDITS) -> DataFrame:
-    """docs in its own columns, texts without the repeated lines; documents that lose every line go."""
-    out = drop_repeated_lines(docs, min_chars, equal_chars, edits).where((F.col("__lost") < F.col("__lines")) | (F.col("__lost") <= 0))
-    chosen = [F.col("__kept").alias(c) if c == "text" else F.length("__kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*chosen)
+    """docs in its own columns, texts without the repeated lines; documents that lose every line go. n_chars, if there, is the new text's."""
+    out = drop_repeated_lines(docs, min_chars, equal_chars, edits).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
+    untouched = F.col("n_removed") == 0
+
+    def column(i: int, name: str) -> Column:
+        own = F.col(f"c{i}")
+        if name == "text":
+            return F.when(untouched, own).otherwise(F.col("kept")).alias(name)
+        return F.when(untouched, own).otherwise(F.length("kept")).cast(docs.schema[name].dataType).alias(name) if name == "n_chars" else own.alias(name)
+
+    return out.select(*(column(i, name) for i, name in enumerate(docs.columns)))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
