@@ -3,16 +3,17 @@
 Words are the runs of digits, ASCII letters (lower-cased) and non-ASCII characters. The windows of a
 benchmark item are its n consecutive words each (n = 13), or all its words if it has fewer. The set of
 windows goes to every executor in blocks of at most `block_words` benchmark words, so what is broadcast
-has a fixed bound whatever the benchmark's size; one block is all that usual benchmarks need. Each
-document's rolling window hashes are looked up in the set and hits are verified word by word.
+has a fixed bound whatever the benchmark's size; one block is all that usual benchmarks need. A longer item is cut
+into pieces that overlap by a window less a word. Each document's rolling window hashes are looked up in the set and hits are verified
+word by word; documents pass the blocks one after another and never move.
 
 Documents keep one row each, repeated rows too. Null texts have no words. Items without words have no
-windows; a null item_id counts as an item whose id is the empty string. An empty benchmark hits nothing.
+windows; a null item_id counts as an item whose id is the empty string. An empty benchmark hits nothing. Further columns may have
+any name.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import broadcast_if_small, documents, staged, table
+from tickloom.llm.common import documents, positional, staged, table
 
 WINDOW = 13
 #: Words of one broadcast block; about 100 MB of windows in a worker at most.
 BLOCK_WORDS = 500_000
+#: Blocks that documents pass in one job, each in a worker of its own beside the others.
+TOGETHER = 4
+#: Documents that a worker holds the words of.
+TEXTS = 256
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,13 +49,13 @@ def _rolled(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """All windows of some items: by length, the sorted hashes, and by window the items that have it."""
+    """All windows of some items (their words): by length, the sorted hashes, and by window the items that have it."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.ids: dict[bytes, int] = {}
         self.items: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            found = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
+        for item, own in items:
+            found = [self.ids.setdefault(w, len(self.ids) + 1) for w in own]
             n = min(window, len(found))
             for i in range(len(found) - n + 1 if n else 0):
                 self.items.setdefault(tuple(found[i : i + n]), set()).add(item)
@@ -88,81 +93,62 @@ def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-FOUND = "row long, doc_id long, n_words long, spans array<int>, items array<string>"
+#: What the blocks so far have found: words hit, disjoint spans of them as start, end pairs, and items in order.
+FOUND = {"n_words": pa.int64(), "n_hit": pa.int64(), "spans": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
+FOUND_SQL = "n_words long, n_hit long, spans array<int>, items array<string>"
 
 
-def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(shared, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
-        for batch in batches:
-            counts, spans, items = [], [], []
-            for text in batch.column("text"):
-                found = words(text.as_py())
-                at, of = windows.hits(found)
-                counts.append(len(found))
-                spans.append([x for s in at for x in s])
-                items.append(sorted(of))
-            arrays = [batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_words", "spans", "items"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                own = [n for n in batch.schema.names if n not in FOUND]
+                before = zip(batch.column("spans"), batch.column("items")) if "spans" in batch.schema.names else [(None, None)] * batch.num_rows
+                rows = []
+                for text, (spans, items) in zip(batch.column(text_col), before):
+                    found = words(text.as_py())
+                    at, of = windows.hits(found)
+                    if spans is not None:
+                        flat = spans.as_py()
+                        at, of = [*at, *zip(flat[::2], flat[1::2])], of.union(items.as_py())
+                    hit = covered(at, len(found)) if at else np.zeros(0, bool)
+                    edges = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist() if at else []
+                    rows.append((len(found), int(hit.sum()), edges, sorted(of)))
+                arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(FOUND.values())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), *arrays], [*own, *FOUND])
 
     return scan
 
 
-DIGEST = "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<int>"
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of what all blocks found in a document: the hit words, disjoint spans of them, and the items."""
-    for batch in batches:
-        rows = batch.to_pylist()
-        out = []
-        for r in rows:
-            flat = r["spans"]
-            hit = covered(list(zip(flat[::2], flat[1::2])), r["n_words"]) if flat else np.zeros(0, bool)
-            edges = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])) if flat else []
-            items = sorted(set(r["items"]))
-            out.append((r["row"], r["doc_id"], r["n_words"], int(hit.sum()), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), [int(e) for e in edges]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
-        names = ("row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans")
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], list(names))
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks; the driver holds one partition of the benchmark at a time."""
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items' words in blocks; the driver holds one partition of the benchmark at a time."""
     block, size = [], 0
     for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
-        n = len(words(text))
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        if n:
-            block.append((item, text))
-            size += n
+        found = words(text)
+        for start in range(0, max(1, len(found) - window + 1), block_words):
+            piece = found[start : start + block_words + window - 1]
+            if block and size + len(piece) > block_words:
+                yield block
+                block, size = [], 0
+            if piece:
+                block.append((item, piece))
+                size += len(piece)
     if block:
         yield block
 
 
-def _search(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """DIGEST of rows (row, doc_id, text); rows must be staged if the benchmark fills several blocks."""
-    context = rows.sparkSession.sparkContext
-    scan = lambda block: rows.select("row", "doc_id", "text").mapInArrow(_scan(context.broadcast(WindowSet(block, window))), FOUND)
-    blocks = _blocks(benchmark, block_words)
-    found, several = scan(next(blocks, [])), False
-    for block in blocks:
-        found, several = found.unionByName(scan(block)), True
-    if several:
-        found = found.groupBy("row", "doc_id", "n_words").agg(
-            F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
-        )
-    return found.mapInArrow(_digest, DIGEST)
-
-
-def _numbered(rows: DataFrame, benchmark: DataFrame, block_words: int) -> tuple[DataFrame, bool]:
-    """rows with a row number, fixed in the shared folder if several blocks will have to agree on it."""
-    blocks = _blocks(benchmark, block_words)
-    several = next(blocks, None) is not None and next(blocks, None) is not None
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    return (staged(rows, "numbered-documents") if several else rows), several
+def _searched(own: DataFrame, text_col: str, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """own, in all its columns, with FOUND."""
+    context = own.sparkSession.sparkContext
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    scan = lambda rows, block: rows.mapInArrow(_scan(context.broadcast(WindowSet(block, window)), text_col), f"{fields}, {FOUND_SQL}")
+    blocks = _blocks(benchmark, window, block_words)
+    found = scan(own, next(blocks, []))
+    for k, block in enumerate(blocks, 1):
+        found = scan(staged(found, "searched-documents") if k % TOGETHER == 0 else found, block)
+    return found
 
 
 def _contaminated(share: int):
@@ -174,35 +160,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     contaminated: some word is hit and at least one word in `share` is.
     """
-    rows, _ = _numbered(documents(docs), benchmark, block_words)
-    return _search(rows, benchmark, window, block_words).select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", _contaminated(share).alias("contaminated"), "spans"
+    found = _searched(documents(docs), "text", benchmark, window, block_words)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), _contaminated(share).alias("contaminated"), "spans",
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, share: int = 20) -> DataFrame:
     """docs, in all its columns, without contaminated documents."""
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("kept"))
-    rows = staged(packed.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
-    bad = _search(rows, benchmark, window, block_words).where(_contaminated(share)).select("row")
-    return rows.join(broadcast_if_small(staged(bad, "contaminated-rows")), "row", "left_anti").select("kept.*")
+    own, at = positional(docs)
+    found = _searched(own, at["text"], benchmark, window, block_words)
+    return found.where(~_contaminated(share)).select(*own.columns).toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text: the words (normalised, one space between) that no benchmark window covers."""
-    rows = staged(documents(docs).withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, flat in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                found = words(text)
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
+                found, flat = words(text.as_py()), spans.as_py()
                 hit = covered(list(zip(flat[::2], flat[1::2])), len(found))
                 texts.append(b" ".join(w for w, h in zip(found, hit) if not h).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    spans = _search(rows, benchmark, window, block_words).select("row", "spans")
-    return rows.join(spans, "row").select("doc_id", "text", "spans").mapInArrow(strip, "doc_id long, text string")
+    found = _searched(documents(docs), "text", benchmark, window, block_words)
+    return found.select("doc_id", "text", "spans").mapInArrow(strip, "doc_id long, text string")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from itertools import accumulate, combinations, product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, maybe, maybe_in, spread_join, staged, table
+from tickloom.llm.common import discard, maybe, maybe_in, positional, spread_join, staged, table
 
 MIN_CHARS = 20
 EDITS = 2
@@ -49,8 +49,7 @@ _LINES, _ROWS = 1 << 28, 1 << 34
 
 def numbered(docs: DataFrame) -> DataFrame:
     """row (numbers from 0 on without gaps), id, text (null: empty), and docs' columns as c0, c1 and so on; staged."""
-    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own, at = positional(docs)
     rows = staged(own.withColumn("unique", F.monotonically_increasing_id()), "numbered-rows")
     # Unique ids hold the writing task above 33 bits: one row for each task comes to the driver.
     parts, start, offsets = rows.groupBy(F.shiftright("unique", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect(), 0, []

@@ -162,8 +162,9 @@ def spans(docs: DataFrame) -> DataFrame:
     until, before = of_kind.rowsBetween(Window.unboundedPreceding, 0), of_kind.rowsBetween(Window.unboundedPreceding, -1)
     placed = each.repartition("row").withColumn("start", (F.sum("gap").over(until) + F.coalesce(F.sum("length").over(before), F.lit(0)))).withColumn("end", F.col("start") + F.col("length"))
     base = (F.col("kind") < 3) & F.col("counts")
-    along = Window.partitionBy("row").orderBy("start")
-    earlier, later = along.rangeBetween(Window.unboundedPreceding, 0), along.rangeBetween(0, Window.unboundedFollowing)
+    # Both frames only grow: what follows a run is summed from the text's end.
+    whole = Window.partitionBy("row")
+    earlier, later = (whole.orderBy(by).rangeBetween(Window.unboundedPreceding, 0) for by in (F.asc("start"), F.desc("start")))
     touched = (F.max(F.when(base, F.col("end"))).over(earlier) > F.col("start")) | (F.min(F.when(base, F.col("start"))).over(later) < F.col("end"))
     placed = placed.withColumn("free", (F.col("kind") == 3) & ~F.coalesce(touched, F.lit(False)))
     return placed.select("row", "doc_id", "kind", "start", "end", "counts", "class", "bin", "free")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import broadcast_if_small, documents, staged, table
+from tickloom.llm.common import discard, documents, maybe, positional, spread_join, staged, table
 
 SHINGLE = 3
 BUDGET = 2
@@ -61,7 +61,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(prints.view(np.int64))], ["doc_id", "row", "fp"])
 
 
 def trie_join(keys: np.ndarray, others: np.ndarray | None, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -168,20 +168,23 @@ def _top(key: str, depth) -> F.Column:
 
 
 def links(prints: DataFrame, budget: int = BUDGET, node_limit: int = NODE_LIMIT) -> DataFrame:
-    """u, v: star edges that connect what `budget` differing bits connect, of distinct fingerprints `fp`."""
+    """u, v: star edges that connect what `budget` differing bits connect, of distinct fingerprints `fp`; staged."""
     bands = F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.lit(w).alias("depth"), F.expr(f"shiftleft(fp, {s}) | " + (f"shiftrightunsigned(fp, {64 - s})" if s else "0L")).alias("key")) for k, (s, w) in enumerate(BANDS))))
     nodes = prints.select(bands.alias("x")).select("x.*").withColumn("a", _top("key", "depth")).withColumn("b", F.col("a"))
     group = ["band", "depth", "a", "b"]
-    edges = None
+    edges, used = None, []
     while True:
         sized = nodes.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1")
         rows = staged(nodes.join(sized, group), "trie-nodes")
+        used.append(rows)
         small = rows.where(F.col("n") <= node_limit).select(*group, "key")
         found = small.repartition(*group).sortWithinPartitions(*group).mapInArrow(_stars(budget), "u long, v long")
         edges = found if edges is None else edges.unionByName(found)
         large = rows.where(F.col("n") > node_limit)
         if large.isEmpty():
-            return edges
+            out = staged(edges, "trie-edges")
+            discard(*used)
+            return out
         # Open each node pair by four bits: the children of a key's own side, paired with those of the other side.
         own = F.expr("shiftrightunsigned(key, 60 - depth) & 15")
         nodes = (
@@ -196,11 +199,13 @@ def links(prints: DataFrame, budget: int = BUDGET, node_limit: int = NODE_LIMIT)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: for each node of the edges (u, v) the smallest node that it is connected with.
+    """node, root: for each node of the edges (u, v) the smallest node that it is connected with; staged.
 
     Large-star and small-star in turn; each halves distances, so the rounds grow with the logarithm of the
-    longest path. Aggregates combine on the map side, and the joins' skewed sides are split.
+    longest path. Aggregates combine on the map side, and the joins' skewed sides are split by the adaptive
+    planner, as what follows them is dealt out anew anyway.
     """
+
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(rounds):
@@ -211,49 +216,66 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = staged(small, "edges")
+        after = staged(small, "edges")
+        discard(now)
+        now = after
         was, state = state, now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.count_distinct("u")).first()
         if state[0] == state[2] and state == was:
             break
     else:
         raise RuntimeError("connected components have not settled")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = staged(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "component-roots")
+    discard(now)
+    return out
 
 
-def _grouped(marked: DataFrame, budget: int, node_limit: int) -> DataFrame:
-    """fp, least (its smallest doc_id), root: the distinct fingerprints by component."""
-    prints = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = components(links(prints.select("fp"), budget, node_limit))
+def _grouped(marked: DataFrame, key: str, budget: int, node_limit: int) -> DataFrame:
+    """fp, n (rows that have it), least (the smallest `key` among them), root: the distinct fingerprints by component; staged."""
+    prints = staged(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    edges = links(prints.select("fp"), budget, node_limit)
+    found = components(edges)
     joined = prints.join(found, F.col("fp") == F.col("node"), "left")
-    return staged(joined.select("fp", "least", F.coalesce("root", "fp").alias("root")), "components")
+    out = staged(joined.select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "components")
+    discard(prints, edges, found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, node_limit: int = NODE_LIMIT) -> DataFrame:
     """doc_id, fingerprint, component_id: a row for each document. budget: differing bits, 2 at most."""
     if not 0 <= budget <= BUDGET:
         raise ValueError("the bands are laid out for two differing bits")
-    marked = staged(documents(docs).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    grouped = _grouped(marked, budget, node_limit)
-    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = documents(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    marked = staged(rows.mapInArrow(_fingerprints, "doc_id long, row long, fp long"), "fingerprints")
+    grouped = _grouped(marked, "doc_id", budget, node_limit)
+    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    ids = staged(ids, "component-ids")
+    named = staged(spread_join(grouped, ids, ["root"], "prints", "fp").select("fp", "n", "component_id"), "named-fingerprints")
+    discard(grouped, ids)
+    # Copies of one text share a fingerprint: a hot one is dealt out.
+    out = spread_join(marked, named, ["fp"], "n", "row")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET, node_limit: int = NODE_LIMIT) -> DataFrame:
     """docs, in all its columns: of each component the row with the smallest doc_id (nulls last) stays."""
-    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("kept"))
-    rows = staged(packed, "numbered-documents")
-    of = rows.select(F.col("row").alias("doc_id"), F.coalesce("kept.text", F.lit("")).alias("text"))
-    prints = of.mapInArrow(_fingerprints, "doc_id long, fp long").withColumnRenamed("doc_id", "row")
-    ids = rows.select(F.col("row"), F.col("kept.doc_id").cast("long").alias("doc_id"))
-    # Fingerprints by row are narrow; ids come along in a second narrow column.
-    marked = staged(prints.join(ids, "row"), "fingerprints")
-    grouped = _grouped(marked, budget, node_limit).select("fp", "root")
-    placed = staged(marked.join(grouped, "fp").select("root", "row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key")), "placed")
-    first = placed.groupBy("root").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.row").alias("stays"))
-    gone = staged(placed.join(first, "root").where("row <> stays").select("row"), "near-copies")
-    return rows.join(broadcast_if_small(gone), "row", "left_anti").select("kept.*")
+    own, at = positional(docs)
+    rows = staged(own.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
+    of = rows.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), "row", F.coalesce(F.col(at["text"]), F.lit("")).alias("text"))
+    prints = of.mapInArrow(_fingerprints, "doc_id long, row long, fp long")
+    # By key: doc_id, nulls after all others, then row.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    marked = staged(prints.select("fp", "row", key.alias("key")), "fingerprints")
+    grouped = _grouped(marked, "key", budget, node_limit)
+    first = grouped.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("rows"), F.count("*").alias("prints"))
+    first = staged(first.where("rows > 1").select("root", F.col("first.row").alias("stays"), "prints"), "first-copies")
+    stays = staged(spread_join(grouped, first, ["root"], "prints", "fp").select("fp", "n", "stays"), "stays")
+    gone = staged(spread_join(marked.select("fp", "row"), stays, ["fp"], "n", "row").where("row <> stays").select("row"), "near-copies")
+    discard(marked, grouped, first, stays)
+    # Only rows that may go move to meet their fate.
+    flagged = maybe(rows, "row", gone)
+    kept = flagged.where("NOT __maybe").unionByName(flagged.where("__maybe").join(gone.hint("merge"), "row", "left_anti"))
+    return kept.select(*own.columns).toDF(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

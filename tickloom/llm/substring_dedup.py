@@ -3,20 +3,24 @@
 A word is removed if a window of `window` (35) consecutive words covers it whose word sequence also starts
 anywhere else, in the same document or another; windows are judged on the input.
 
-Level 1, half the window (18 words): of each full window, the half-length part with the least hash stands for
-it. Which part that is depends on the window's words alone, so two equal windows have the same one; a part is
-chosen about every tenth word. Parts seen once in the corpus die there, and with them every window that
-they stand for: it can have no equal.
-Level 2, twice the length, cut to the window: the windows of surviving parts are compared by 128-bit hashes.
-Longer windows would cover no further words, so the doubling ends there; where no part survives level 1, it
-ends before.
-
-Texts that equal each other byte by byte are one text with a count, up to the last step: of a repeated text
+Level 1, a quarter of the window (9 words): of each full window, the 9-word part with the least hash stands for it. Which part
+that is depends on the window's words alone, so two equal windows have the same one; a part is chosen about every 14th word.
+Parts seen once in the corpus die there, and with them every window that they stand for: it can have no equal.
+Level 2, twice the length (18 words): of each window whose part is alive, that part is extended to the right, or to the left where the
+window ends before. Extensions are equal in equal windows too, are counted in the same way, and those seen once die.
+Level 3, twice the length again, cut to the window (35 words): the windows of living extensions are compared by
+128-bit hashes. Longer windows would cover no further words, so the doubling ends there; where nothing is alive, it ends before.
+
+At the last level texts are in chunks. A chunk sends its distinct window hashes, sorted and cut by hash range, and gets a bit for each back:
+whether another chunk, or another place in this one, has it too. A passage that a third of all texts share is one hash for
+each chunk by then; at the levels before, counts are combined on the map side and the rows of a hot part are dealt out.
+
+Texts that equal each other byte by byte are one text with a count from level 2 on: of a repeated text
 with a full window each word goes, and its windows enter the levels once, so a large group of copies costs
-as much as one. What the tasks exchange are hashes; texts travel once, to the windows that survive them.
+as much as one. What the tasks exchange are hashes; texts travel once to the chunks, and once from there to their bits.
 
 Null texts have no words. Documents shorter than a window lose nothing. Repeated rows are further documents
-with the same text, so they lose everything too. An empty table gives no rows.
+with the same text, so they lose everything too. An empty table gives no rows, and further columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,13 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import broadcast_if_small, documents, staged, table
+from tickloom.llm.common import discard, documents, maybe_in, spread_join, staged, table
 
 WINDOW = 35
 #: Odd multipliers of the two rolling hashes and their inverses modulo 2^64.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 REMEMBERED = 1_000_000
+#: Words of a chunk (a longer text is a chunk of its own), and windows that one task merges.
+CHUNK_WORDS = 1 << 19
+MERGED = 1 << 21
+#: Texts that a worker holds the words of.
+TEXTS = 200
 
 
 class Words:
@@ -92,137 +101,245 @@ def windows(hashes: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     return rolled ^ (rolled >> np.uint64(32))
 
 
-def least_of(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` consecutive values."""
-    have, out = 1, values
+def levels(window: int) -> tuple[int, int, int]:
+    """Words of a window at each level: the next has twice as many, the last as many as the full window."""
+    half = (window + 1) // 2
+    return (half + 1) // 2, half, window
+
+
+def least_at(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each `width` consecutive values is, the first of equal ones."""
+    have, least, at = 1, values, np.arange(len(values))
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[:-step], out[step:])
+        later = least[step:] < least[:-step]
+        least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
         have += step
-    return out
+    return at
 
 
-def representatives(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all half windows, and for each window the least of those inside it."""
-    half = (window + 1) // 2
-    parts = windows(hashes, half)
-    return parts, least_of(parts, window - half + 1) if len(hashes) >= window else np.empty(0, np.uint64)
+def stand_ins(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all parts and extensions of a text, and for each full window where its part and its extension start."""
+    short, half, _ = levels(window)
+    parts, halves = windows(hashes, short), windows(hashes, half)
+    at = least_at(parts, window - short + 1)
+    fits = at + half <= np.arange(len(at)) + window
+    return parts, halves, at, np.where(fits, at, at + short - half)
+
+
+def _twice(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The hashes at the distinct places; those at several of them twice."""
+    found, counts = np.unique(values[np.unique(places)], return_counts=True)
+    return np.concatenate([found, found[counts > 1]])
+
+
+FIRST = "doc_id long, row long, content binary, n_words long, kept_sha256 string, parts array<long>, parents array<long>, extensions array<long>, weights array<int>"
 
 
-FIRST = "doc_id long, content binary, n_words long, kept_sha256 string, parts array<long>"
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
 def _first(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The parts that stand for a text's windows, twice where the text itself repeats one."""
+    """The parts that stand for a text's windows, twice where the text itself repeats one, and their extensions with a weight of 1 or 2."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
+        none = np.empty(0, np.int64)
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                counts, shas, parts = [], [], []
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                counts, shas, found = [], [], []
                 for text in batch.column("text"):
                     words = split(text.as_py())
                     counts.append(len(words))
                     shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                     if len(words) < window:
-                        parts.append(np.empty(0, np.int64))
+                        found.append((none, none, none, none))
                         continue
-                    halves, least = representatives(known.hashes(words), window)
-                    chosen = np.unique(least)
-                    halves = np.sort(halves)
-                    again = np.searchsorted(halves, chosen, "right") - np.searchsorted(halves, chosen, "left") > 1
-                    parts.append(np.concatenate([chosen, chosen[again]]).view(np.int64))
-                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), lists], ["doc_id", "content", "n_words", "kept_sha256", "parts"])
+                    parts, halves, at, extended = stand_ins(known.hashes(words), window)
+                    pairs = np.unique(2 * at + (extended != at))
+                    parents, places = parts[pairs // 2], np.where(pairs % 2, pairs // 2 + levels(window)[0] - levels(window)[1], pairs // 2)
+                    again = _twice(halves, places)
+                    twice = np.isin(halves[places], again[len(np.unique(again)) :])
+                    rows = np.unique(np.stack([parents, halves[places], twice + np.uint64(1)]), axis=1)
+                    found.append((_twice(parts, at).view(np.int64), rows[0].view(np.int64), rows[1].view(np.int64), rows[2].astype(np.int32)))
+                lists = [_lists([f[k] for f in found], pa.int64() if k < 3 else pa.int32()) for k in range(4)]
+                arrays = [batch.column("doc_id"), batch.column("row"), batch.column("content"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), *lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "content", "n_words", "kept_sha256", "parts", "parents", "extensions", "weights"])
 
     return first
 
 
-def _second(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The full windows of a text whose part survived: two hashes, the text's id and the place."""
+CHUNK = "ids array<long>, alone array<boolean>, texts array<string>, living array<binary>, n_words long"
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _chunks(chunk_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to chunks of at most `chunk_words` words, or of one longer text."""
+
+    def out(rows: list[tuple], size: int) -> pa.RecordBatch:
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.list_(pa.binary()))
+        arrays = [pa.array([[r[k] for r in rows]], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([size], pa.int64())], ["ids", "alone", "texts", "living", "n_words"])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for row, copies, text, n, living in zip(*(batch.column(c) for c in ("id", "copies", "text", "n_words", "living"))):
+                if rows and size + n.as_py() > chunk_words:
+                    yield out(rows, size)
+                    rows, size = [], 0
+                rows.append((row.as_py(), copies.as_py() == 1, text.as_py(), np.unique(living.values.to_numpy()).tobytes()))
+                size += n.as_py()
+        if rows:
+            yield out(rows, size)
+
+    return chunks
+
+
+class Chunk:
+    """The windows of some texts whose extension is alive, by distinct hash in ascending order."""
+
+    def __init__(self, texts: list[str], living: list[bytes], window: int, known: Words):
+        self.window, self.words, self.places, found = window, [split(t) for t in texts], [], []
+        for words, alive in zip(self.words, living):
+            hashes = known.hashes(words)
+            _, halves, _, extended = stand_ins(hashes, window)
+            places = np.flatnonzero(np.isin(halves[extended], np.frombuffer(alive, np.int64).view(np.uint64)))
+            self.places.append(places)
+            found.append(np.stack([windows(hashes, window, k)[places] for k in (0, 1)]))
+        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.uint64)
+        order = np.lexsort((both[1], both[0]))
+        ordered = both[:, order]
+        new = np.r_[True, (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)][: len(order)]
+        self.one, self.two = ordered[:, new]
+        #: Of each window, in the order of texts and places, which of the distinct ones it is.
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.several = np.bincount(self.which, minlength=len(self.one)) > 1
+
+    def buckets(self, n: int) -> Iterator[tuple[int, int, int]]:
+        """Bucket, start and end of its distinct windows: ranges of the first hash."""
+        of = ((self.one >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True][: len(of) + 1])
+        yield from zip(of[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist())
+
+    def removed(self, repeated: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each text, which words repeated windows cover."""
+        start = 0
+        for words, places in zip(self.words, self.places):
+            at = places[repeated[self.which[start : start + len(places)]]]
+            start += len(places)
+            edges = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + self.window, -1)
+            yield np.cumsum(edges)[:-1] > 0
+
+
+def _send(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The distinct windows of each chunk by bucket: both hashes, and bits of those at several places of the chunk."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            for row, text, parts in zip(batch.column("id"), batch.column("text"), batch.column("parts")):
-                hashes = known.hashes(split(text.as_py()))
-                _, least = representatives(hashes, window)
-                alive = np.sort(parts.values.to_numpy().view(np.uint64))
-                at = np.searchsorted(alive, least).clip(max=len(alive) - 1)
-                places = np.flatnonzero(alive[at] == least)
-                one, two = (windows(hashes, window, k)[places].view(np.int64) for k in (0, 1))
-                for s in range(0, len(places), 100_000):
-                    p = places[s : s + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(one[s : s + len(p)]), pa.array(two[s : s + len(p)]), pa.array(np.full(len(p), row.as_py())), pa.array(p.astype(np.int32))], ["h1", "h2", "id", "place"])
+            for chunk, texts, living in zip(batch.column("chunk"), batch.column("texts"), batch.column("living")):
+                own = Chunk(texts.as_py(), living.as_py(), window, known)
+                rows = [(b, own.one[s:e].tobytes() + own.two[s:e].tobytes(), np.packbits(own.several[s:e]).tobytes()) for b, s, e in own.buckets(buckets)]
+                arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk.as_py()] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))]
+                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "chunk", "hashes", "several"])
 
-    return second
+    return send
 
 
-def _strip(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts without the words that repeated windows cover."""
+def _merge(sent: pa.Table) -> pa.Table:
+    """Of one bucket: bits of the windows that several chunks have, or one has several times."""
+    hashes = [np.frombuffer(h.as_py(), np.uint64).reshape(2, -1) for h in sent.column("hashes")]
+    bits = [np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=h.shape[1]).astype(bool) for b, h in zip(sent.column("several"), hashes)]
+    both, repeated = np.concatenate(hashes, axis=1), np.concatenate(bits)
+    order = np.lexsort((both[1], both[0]))
+    same = (both[:, order][:, 1:] == both[:, order][:, :-1]).all(axis=0)
+    repeated[order] |= np.r_[False, same] | np.r_[same, False]
+    cuts = np.cumsum([h.shape[1] for h in hashes])[:-1]
+    return pa.table({"chunk": sent.column("chunk"), "bucket": sent.column("bucket"), "repeated": pa.array([np.packbits(r).tobytes() for r in np.split(repeated, cuts)], pa.binary())})
+
+
+def _strip(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts that no other equals, without the words that repeated windows cover."""
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
-            removed, texts = [], []
-            for text, places in zip(batch.column("text"), batch.column("places")):
-                words = split(text.as_py())
-                edges = np.zeros(len(words) + 1, np.int64)
-                if places.is_valid:
-                    at = places.values.to_numpy()
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, at + window, -1)
-                gone = np.cumsum(edges)[:-1] > 0
-                removed.append(int(gone.sum()))
-                texts.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["id", "n_removed", "kept"])
+            for ids, alone, texts, living, bits in zip(*(batch.column(c) for c in ("ids", "alone", "texts", "living", "bits"))):
+                own = Chunk(texts.as_py(), living.as_py(), window, known)
+                repeated, sent = np.zeros(len(own.one), bool), {b["bucket"]: b["repeated"] for b in bits.as_py()}
+                for b, s, e in own.buckets(buckets):
+                    repeated[s:e] = np.unpackbits(np.frombuffer(sent[b], np.uint8), count=e - s)
+                rows = []
+                for row, single, words, gone in zip(ids.as_py(), alone.as_py(), own.words, own.removed(repeated)):
+                    if single and gone.any():
+                        kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                        rows.append((row, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "removed", "sha", "kept"])
 
     return strip
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, chunk_words: int = CHUNK_WORDS, merged: int = MERGED) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with texts=True also kept, null where a document stays whole.
 
     kept_sha256 is of the kept words, joined by one space.
     """
     rows = documents(docs).withColumn("content", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    marked = staged(rows.mapInArrow(_first(window), FIRST).withColumn("row", F.monotonically_increasing_id()), "representatives")
+    marked = staged(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_first(window), FIRST), "stand-ins")
 
     # One id for each text: a row that has it.
     contents = staged(marked.where(F.col("n_words") >= window).groupBy("content").agg(F.min("row").alias("id"), F.count("*").alias("copies")), "contents")
-    parts = marked.select(F.col("row").alias("id"), "content", "parts").join(contents.select("id"), "id").select("id", F.explode("parts").alias("part"))
-    alive = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
-    surviving = parts.join(broadcast_if_small(staged(alive, "surviving-parts"), 2_000_000), "part").groupBy("id").agg(F.collect_set("part").alias("parts"))
 
-    # The texts of surviving parts, one row of each: both its content and its doc_id are the key, so that copies
+    # Level 1: parts seen more than once, copies of a text included.
+    parts = marked.select(F.explode("parts").alias("parent"))
+    alive = staged(parts.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1"), "living-parts")
+    # Level 2: their extensions, each text once.
+    extended = marked.select(F.col("row").alias("id"), F.explode(F.arrays_zip("parents", "extensions", "weights")).alias("x")).select("id", F.col("x.parents").alias("parent"), F.col("x.extensions").alias("extension"), F.col("x.weights").alias("weight"))
+    extended = maybe_in(extended, "parent", alive).join(contents.select("id").hint("merge"), "id")
+    second = staged(spread_join(extended, alive, ["parent"], "n", "id").select("id", "extension", "weight"), "extensions")
+    counted = second.groupBy("extension").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).where("n > 1").select("extension", "rows")
+    living = staged(counted, "living-extensions")
+    of_text = spread_join(maybe_in(second, "extension", living), living, ["extension"], "rows", "id").groupBy("id").agg(F.collect_set("extension").alias("living"))
+
+    # The texts of living extensions, one row of each: both its content and its doc_id are the key, so that copies
     # of one text do not meet in one task. A row that repeats all of that is a copy, and copies are not stripped.
-    named = contents.join(surviving, "id").join(marked.select(F.col("row").alias("id"), F.col("doc_id").alias("of")), "id")
-    wanted = staged(named.select(F.col("content").alias("key"), "of", "id", "copies", "parts"), "wanted-texts")
-    match = (F.col("content") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))
-    if wanted.count() <= 200_000:  # their keys fit every executor: other texts need no shuffle
-        rows = rows.join(F.broadcast(wanted.select("key", "of")), match, "left_semi")
-    held = staged(rows.join(wanted, match).select("id", "copies", "text", "parts"), "candidate-texts")
-    level = held.mapInArrow(_second(window), "h1 long, h2 long, id long, place int")
-    level = staged(level, "windows")
-    twice = level.groupBy("h1", "h2").agg(*(f(c).alias(f"{n}_{c}") for c in ("id", "place") for f, n in ((F.min, "least"), (F.max, "most")))).where("least_id <> most_id OR least_place <> most_place").select("h1", "h2")
-    places = level.join(twice, ["h1", "h2"]).groupBy("id").agg(F.collect_set("place").alias("places"))
-    stripped = held.where("copies = 1").select("id", "text").join(places, "id").mapInArrow(_strip(window), "id long, n_removed long, kept string")
+    key = F.xxhash64("content", "of").alias("key")
+    named = contents.join(of_text, "id").join(marked.select(F.col("row").alias("id"), F.col("doc_id").alias("of"), "n_words").hint("merge"), "id")
+    wanted = staged(named.select("content", "of", "id", "copies", "n_words", "living", key), "wanted-texts")
+    candidates = maybe_in(rows.withColumnRenamed("doc_id", "of").withColumn("key", key), "key", wanted).withColumnRenamed("of", "__of").withColumnRenamed("content", "__content").drop("key")
+    held = candidates.join(wanted.hint("merge"), (F.col("__content") == F.col("content")) & F.col("__of").eqNullSafe(F.col("of"))).select("id", "copies", "text", "n_words", "living")
+    chunks = staged(held.mapInArrow(_chunks(chunk_words), CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    discard(alive, second, living, wanted)
+
+    # Level 3: full windows.
+    buckets = max(1, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // merged))
+    sent = chunks.select("chunk", "texts", "living").mapInArrow(_send(window, buckets), "bucket long, chunk long, hashes binary, several binary")
+    back = sent.groupBy("bucket").applyInArrow(_merge, "chunk long, bucket long, repeated binary")
+    bits = back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "repeated")).alias("bits"))
+    stripped = chunks.join(bits.hint("merge"), "chunk").mapInArrow(_strip(window, buckets), "id long, removed long, sha string, kept string")
+    stripped = staged(stripped if texts else stripped.drop("kept"), "stripped-texts")
 
     # Back to the documents, by text.
-    by_content = contents.join(stripped, "id", "left").select(
-        "content",
-        "copies",
-        F.when(F.col("copies") > 1, F.lit("")).otherwise(F.col("kept")).alias("kept"),
-        F.when(F.col("copies") == 1, F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-    ).where("copies > 1 OR n_removed > 0")
-    final = marked.select("doc_id", "content", "n_words", "kept_sha256").join(by_content, "content", "left")
-    columns = [
-        "doc_id", "n_words",
-        F.when(F.col("copies") > 1, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("copies").isNull(), F.col("kept_sha256")).otherwise(F.sha2(F.col("kept").cast("binary"), 256)).alias("kept_sha256"),
-    ]
-    return final.select(*columns, *(["kept"] if texts else []))
+    copied = F.col("copies") > 1
+    verdict = contents.join(stripped.hint("merge"), "id", "left").where(copied | F.col("removed").isNotNull()).select(
+        "content", "copies", F.when(~copied, F.col("removed")).alias("removed"), F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("sha"),
+        *([F.when(copied, F.lit("")).otherwise(F.col("kept")).alias("kept")] if texts else []),
+    )
+    verdict = staged(verdict, "judged-texts")
+    discard(contents, chunks, stripped)
+    final = spread_join(marked.select("doc_id", "row", "content", "n_words", "kept_sha256"), verdict, ["content"], "copies", "row", "left")
+    whole = F.col("copies").isNull()
+    return final.select(
+        "doc_id", "n_words", F.when(whole, F.lit(0)).otherwise(F.coalesce("removed", "n_words")).cast("long").alias("n_removed"),
+        F.when(whole, F.col("kept_sha256")).otherwise(F.col("sha")).alias("kept_sha256"), *(["kept"] if texts else []),
+    )
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
