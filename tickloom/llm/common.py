@@ -61,7 +61,7 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
 
 
-#: Bits of a fixed-size filter; at 64 a row it has 2 million rows of 16 bytes at most, whatever it stands for.
+#: Bits of a fixed-size filter: 16 MB, whatever it stands for, in rows of 32768 bits.
 FILTER_BITS = 1 << 27
 
 
@@ -72,10 +72,12 @@ def maybe(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) ->
     saved from shuffling most other rows. Where the keys outgrow the filter all rows pass, and the join alone decides.
     """
     bit = F.col(key).bitwiseAND(F.lit(bits - 1))
-    mask = F.expr(f"shiftleft(1L, cast(`{key}` & 63 AS int))")
-    words = keys.select(F.shiftright(bit, 6).alias("__word"), mask.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__mask"))
-    hit = df.withColumn("__word", F.shiftright(bit, 6)).join(F.broadcast(words), "__word", "left")
-    return hit.withColumn("__maybe", F.coalesce(F.col("__mask").bitwiseAND(mask) != 0, F.lit(False))).drop("__word", "__mask")
+    place, block = bit.bitwiseAND(F.lit(32767)), F.shiftright(bit, 15)
+    blocks = keys.groupBy(block.alias("__block")).agg(F.bitmap_construct_agg(place).alias("__bits"))
+    hit = df.withColumn("__block", block).join(F.broadcast(blocks), "__block", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.expr(f"shiftleft(1, cast(`{key}` & 7 AS int))")
+    return hit.withColumn("__maybe", F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop("__block", "__bits")
 
 
 def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:

@@ -26,6 +26,7 @@ with the same text, so they lose everything too. An empty table gives no rows, a
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,40 +40,18 @@ WINDOW = 35
 #: Odd multipliers of the two rolling hashes and their inverses modulo 2^64.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
-REMEMBERED = 1_000_000
+#: Bytes that are hashed together, and what may come between words.
+BLOCK_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words of a chunk (a longer text is a chunk of its own), and windows that one task merges.
 CHUNK_WORDS = 1 << 19
-MERGED = 1 << 21
+MERGED = 1 << 20
 #: Texts that a worker holds the words of.
 TEXTS = 200
 
 
-class Words:
-    """Words of a text as bytes, and their 64-bit hashes; a worker remembers those of frequent words."""
-
-    def __init__(self):
-        import xxhash
-
-        self.known: dict[bytes, int] = {}
-        self.digest = xxhash.xxh3_64_intdigest
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        digest = self.digest
-        for w in set(words):
-            if w not in known:
-                known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def split(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()
+def split(data: bytes) -> list[bytes]:
+    return data.split()
 
 
 _powers: list[np.ndarray] = []
@@ -101,6 +80,37 @@ def windows(hashes: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     return rolled ^ (rolled >> np.uint64(32))
 
 
+def _blocks(data: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """Parts of about `size` bytes, cut before white space; a longer word is not cut."""
+    start = 0
+    while start < len(data):
+        end = start + size
+        space = _SPACE.search(data, end) if end < len(data) else None
+        end = space.start() if space else len(data)
+        yield start, end
+        start = end
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start in bytes, and a 64-bit hash of each: a rolling sum over its bytes, mixed with its length."""
+    starts, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for a, b in _blocks(data, BLOCK_BYTES):
+        x = np.frombuffer(data, np.uint8, b - a, a)
+        space = (x == 32) | ((x >= 9) & (x <= 13))
+        edges = np.flatnonzero(np.diff(np.r_[True, space, True].view(np.int8)))
+        first, last = edges[::2], edges[1::2]
+        up, down = _power(0, len(x))
+        sums = np.r_[np.uint64(0), np.cumsum((x + np.uint64(1)) * up[: len(x)], dtype=np.uint64)]
+        h = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
+        h ^= h >> np.uint64(30)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        h *= np.uint64(0x94D049BB133111EB)
+        starts.append(first + a)
+        hashes.append(h ^ (h >> np.uint64(31)))
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def levels(window: int) -> tuple[int, int, int]:
     """Words of a window at each level: the next has twice as many, the last as many as the full window."""
     half = (window + 1) // 2
@@ -118,55 +128,70 @@ def least_at(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def stand_ins(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all parts and extensions of a text, and for each full window where its part and its extension start."""
-    short, half, _ = levels(window)
-    parts, halves = windows(hashes, short), windows(hashes, half)
-    at = least_at(parts, window - short + 1)
-    fits = at + half <= np.arange(len(at)) + window
-    return parts, halves, at, np.where(fits, at, at + short - half)
+class Texts:
+    """Some texts, one after another: the hashes of their words, how many each has, and their full windows.
 
+    parts, halves: hashes of every 9 and 18 consecutive words; starts: where full windows within one text start, and owner: that text;
+    at, extended: where the part and the extension that stand for each begin.
+    """
 
-def _twice(values: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The hashes at the distinct places; those at several of them twice."""
-    found, counts = np.unique(values[np.unique(places)], return_counts=True)
-    return np.concatenate([found, found[counts > 1]])
+    def __init__(self, texts: list[str], window: int):
+        short, half, _ = levels(window)
+        self.data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        places, self.hashes = words_of(b"\n".join(self.data))
+        self.ends = np.searchsorted(places, np.cumsum([len(d) + 1 for d in self.data]))
+        self.sizes = np.diff(self.ends, prepend=0)
+        owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.parts, self.halves = windows(self.hashes, short), windows(self.hashes, half)
+        places = np.arange(max(0, len(self.hashes) - window + 1))
+        inside = places + window <= self.ends[owner[: len(places)]]
+        self.starts, self.owner = places[inside], owner[: len(places)][inside]
+        self.at = least_at(self.parts, window - short + 1)[inside] if len(places) else places
+        self.extended = np.where(self.at + half <= self.starts + window, self.at, self.at + short - half)
+
+
+def _repeats(owner: np.ndarray, places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """owner, hash, places of the distinct hashes of each text, over distinct places."""
+    _, first = np.unique(places, return_index=True)
+    owner, hashes = owner[first], values[places[first]]
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])][: len(owner)])
+    return owner[new], hashes[new], np.diff(np.r_[new, len(owner)])
 
 
 FIRST = "doc_id long, row long, content binary, n_words long, kept_sha256 string, parts array<long>, parents array<long>, extensions array<long>, weights array<int>"
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], kind))
+def _lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
+    """The values of each of n texts; owner ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
 def _first(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The parts that stand for a text's windows, twice where the text itself repeats one, and their extensions with a weight of 1 or 2."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        none = np.empty(0, np.int64)
         for whole in batches:
             for start in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(start, TEXTS)
-                counts, shas, found = [], [], []
-                for text in batch.column("text"):
-                    words = split(text.as_py())
-                    counts.append(len(words))
-                    shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    if len(words) < window:
-                        found.append((none, none, none, none))
-                        continue
-                    parts, halves, at, extended = stand_ins(known.hashes(words), window)
-                    pairs = np.unique(2 * at + (extended != at))
-                    parents, places = parts[pairs // 2], np.where(pairs % 2, pairs // 2 + levels(window)[0] - levels(window)[1], pairs // 2)
-                    again = _twice(halves, places)
-                    twice = np.isin(halves[places], again[len(np.unique(again)) :])
-                    rows = np.unique(np.stack([parents, halves[places], twice + np.uint64(1)]), axis=1)
-                    found.append((_twice(parts, at).view(np.int64), rows[0].view(np.int64), rows[1].view(np.int64), rows[2].astype(np.int32)))
-                lists = [_lists([f[k] for f in found], pa.int64() if k < 3 else pa.int32()) for k in range(4)]
-                arrays = [batch.column("doc_id"), batch.column("row"), batch.column("content"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), *lists]
+                own, n = Texts(batch.column("text").to_pylist(), window), batch.num_rows
+                shas = [hashlib.sha256(b" ".join(split(d))).hexdigest() for d in own.data]
+                of, parts, places = _repeats(own.owner, own.at, own.parts)
+                often = np.where(places > 1, 2, 1)
+                # A part has one extension or two; the same one of a text weighs 2 if it is at several places.
+                pairs, one = np.unique(2 * own.at + (own.extended != own.at), return_index=True)
+                owner, parents, extensions = own.owner[one], own.parts[own.at[one]], own.halves[own.extended[one]]
+                order = np.lexsort((parents, extensions, owner))
+                owner, parents, extensions = owner[order], parents[order], extensions[order]
+                same = np.r_[False, (owner[1:] == owner[:-1]) & (extensions[1:] == extensions[:-1])][: len(owner)]
+                weights = np.where(same | np.r_[same[1:], False][: len(owner)], 2, 1).astype(np.int32)
+                new = ~same | np.r_[False, parents[1:] != parents[:-1]][: len(owner)]
+                arrays = [
+                    batch.column("doc_id"), batch.column("row"), batch.column("content"), pa.array(own.sizes), pa.array(shas, pa.string()),
+                    _lists(np.repeat(of, often), n, np.repeat(parts, often).view(np.int64)),
+                    *(_lists(owner[new], n, x[new]) for x in (parents.view(np.int64), extensions.view(np.int64), weights)),
+                ]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "content", "n_words", "kept_sha256", "parts", "parents", "extensions", "weights"])
 
     return first
@@ -201,20 +226,17 @@ def _chunks(chunk_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 class Chunk:
     """The windows of some texts whose extension is alive, by distinct hash in ascending order."""
 
-    def __init__(self, texts: list[str], living: list[bytes], window: int, known: Words):
-        self.window, self.words, self.places, found = window, [split(t) for t in texts], [], []
-        for words, alive in zip(self.words, living):
-            hashes = known.hashes(words)
-            _, halves, _, extended = stand_ins(hashes, window)
-            places = np.flatnonzero(np.isin(halves[extended], np.frombuffer(alive, np.int64).view(np.uint64)))
-            self.places.append(places)
-            found.append(np.stack([windows(hashes, window, k)[places] for k in (0, 1)]))
-        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.uint64)
+    def __init__(self, texts: list[str], living: list[bytes], window: int):
+        self.texts, self.window = Texts(texts, window), window
+        # What is alive is so in every text that has it.
+        alive = np.unique(np.frombuffer(b"".join(living), np.int64).view(np.uint64))
+        self.places = self.texts.starts[np.isin(self.texts.halves[self.texts.extended], alive)]
+        both = np.stack([windows(self.texts.hashes, window, k)[self.places] for k in (0, 1)])
         order = np.lexsort((both[1], both[0]))
         ordered = both[:, order]
         new = np.r_[True, (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)][: len(order)]
         self.one, self.two = ordered[:, new]
-        #: Of each window, in the order of texts and places, which of the distinct ones it is.
+        #: Of each window, in the order of places, which of the distinct ones it is.
         self.which = np.empty(len(order), np.int64)
         self.which[order] = np.cumsum(new) - 1
         self.several = np.bincount(self.which, minlength=len(self.one)) > 1
@@ -225,26 +247,21 @@ class Chunk:
         cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True][: len(of) + 1])
         yield from zip(of[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist())
 
-    def removed(self, repeated: np.ndarray) -> Iterator[np.ndarray]:
+    def removed(self, repeated: np.ndarray) -> list[np.ndarray]:
         """Of each text, which words repeated windows cover."""
-        start = 0
-        for words, places in zip(self.words, self.places):
-            at = places[repeated[self.which[start : start + len(places)]]]
-            start += len(places)
-            edges = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + self.window, -1)
-            yield np.cumsum(edges)[:-1] > 0
+        at, edges = self.places[repeated[self.which]], np.zeros(len(self.texts.hashes) + 1, np.int64)
+        edges[at] += 1
+        edges[at + self.window] -= 1  # places are distinct, and so are their ends
+        return np.split(np.cumsum(edges)[:-1] > 0, self.texts.ends[:-1])
 
 
 def _send(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The distinct windows of each chunk by bucket: both hashes, and bits of those at several places of the chunk."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
             for chunk, texts, living in zip(batch.column("chunk"), batch.column("texts"), batch.column("living")):
-                own = Chunk(texts.as_py(), living.as_py(), window, known)
+                own = Chunk(texts.as_py(), living.as_py(), window)
                 rows = [(b, own.one[s:e].tobytes() + own.two[s:e].tobytes(), np.packbits(own.several[s:e]).tobytes()) for b, s, e in own.buckets(buckets)]
                 arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk.as_py()] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))]
                 yield pa.RecordBatch.from_arrays(arrays, ["bucket", "chunk", "hashes", "several"])
@@ -268,16 +285,16 @@ def _strip(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
     """Texts that no other equals, without the words that repeated windows cover."""
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
             for ids, alone, texts, living, bits in zip(*(batch.column(c) for c in ("ids", "alone", "texts", "living", "bits"))):
-                own = Chunk(texts.as_py(), living.as_py(), window, known)
+                own = Chunk(texts.as_py(), living.as_py(), window)
                 repeated, sent = np.zeros(len(own.one), bool), {b["bucket"]: b["repeated"] for b in bits.as_py()}
                 for b, s, e in own.buckets(buckets):
                     repeated[s:e] = np.unpackbits(np.frombuffer(sent[b], np.uint8), count=e - s)
                 rows = []
-                for row, single, words, gone in zip(ids.as_py(), alone.as_py(), own.words, own.removed(repeated)):
+                for row, single, data, gone in zip(ids.as_py(), alone.as_py(), own.texts.data, own.removed(repeated)):
                     if single and gone.any():
+                        words = split(data)
                         kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                         rows.append((row, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
