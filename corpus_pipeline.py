@@ -13,33 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from tickloom.llm.common import staged, table
+from tickloom.llm.common import staged, table, tidy
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores below one half."""
+    tidy(spark)
     return toxicity.harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line equals or nearly equals; n_chars is that of the new text."""
+    tidy(spark)
     return line_dedup.strip_documents(docs)
 
 
 def dedup_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
+    tidy(spark)
     return simhash.one_of_each(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages do not fill by a twentieth."""
+    tidy(spark)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
+    tidy(spark)
     return mixing.mix(docs).drop("n_copies")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -61,16 +62,23 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
 
 
-#: Bits of a fixed-size filter: 16 MB, whatever it stands for, in rows of 32768 bits.
-FILTER_BITS = 1 << 27
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's cleaner drop the shuffles and broadcasts of tables that nobody holds any more, between steps of a long run."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
-def maybe(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+#: Bits of a filter for each of its keys, and of a whole one at most (128 MB).
+KEY_BITS, FILTER_BITS = 8, 1 << 30
+
+
+def maybe(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """df with __maybe: whether a row's long `key` may be among those of `keys` (staged). A filter of hashed bits, broadcast.
 
-    Its size is bounded by `bits`, not by the keys. False is certain; true asks for the exact join that follows, which is thereby
-    saved from shuffling most other rows. Where the keys outgrow the filter all rows pass, and the join alone decides.
+    Its size is bounded by FILTER_BITS. False is certain; true asks for the exact join that follows, which is thereby
+    saved from shuffling most other rows. Where the keys outgrow the filter more and more rows pass, and the join decides alike.
     """
+    bits = min(FILTER_BITS, 1 << max(20, (KEY_BITS * keys.count()).bit_length()))
     bit = F.col(key).bitwiseAND(F.lit(bits - 1))
     place, block = bit.bitwiseAND(F.lit(32767)), F.shiftright(bit, 15)
     blocks = keys.groupBy(block.alias("__block")).agg(F.bitmap_construct_agg(place).alias("__bits"))
@@ -80,9 +88,9 @@ def maybe(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) ->
     return hit.withColumn("__maybe", F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop("__block", "__bits")
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows of df whose long `key` is among those of `keys` (staged), and a few others."""
-    return maybe(df, key, keys, bits).where("__maybe").drop("__maybe")
+    return maybe(df, key, keys).where("__maybe").drop("__maybe")
 
 
 #: A key with more than one in so many of all rows is hot; there can be no more hot keys than this.

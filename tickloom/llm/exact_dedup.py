@@ -117,6 +117,8 @@ def _merge(parts: pa.Table) -> pa.Table:
     return pa.table({"fp": whole.fingerprints()[whole.counts > 1].view(np.int64)})
 
 
+#: Bytes of texts that a task holds to group its rows by.
+HELD_BYTES = 64 << 20
 GROUPED = "fp long, row long, doc_id long, sha string, local long, text string, n long, best struct<doc_id: long, row: long>"
 
 
@@ -125,13 +127,20 @@ def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << 40
     known: dict[str, int] = {}
     groups: list[list] = []
-    row = 0
+    row = before = held = 0  # rows, groups sent, bytes held so far
     best_type = pa.struct([("doc_id", pa.int64()), ("row", pa.int64())])
 
     def out(fp, rows, ids, shas, local, texts, n, best):
         arrays = [pa.array(fp, pa.int64()), pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(shas, pa.string()), pa.array(local, pa.int64()), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(best, best_type)]
         return pa.RecordBatch.from_arrays(arrays, ["fp", "row", "doc_id", "sha", "local", "text", "n", "best"])
 
+    def sent() -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(groups), 1000):
+            part = groups[start : start + 1000]
+            nothing = [None] * len(part)
+            best = [{"doc_id": k[1] if k[0] else None, "row": base + k[2]} for *_, k in part]
+            yield out([g[0] for g in part], nothing, nothing, nothing, [base + before + start + i for i in range(len(part))], [g[1] for g in part], [g[2] for g in part], best)
+
     for batch in batches:
         fps, ids, texts, shas = (batch.column(c).to_pylist() for c in ("fp", "doc_id", "text", "sha"))
         rows, local = [], []
@@ -139,21 +148,22 @@ def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = known.setdefault(text, len(groups))
             if at == len(groups):
                 groups.append([fp, text, 0, None])
+                held += len(text)
             group = groups[at]
             group[2] += 1
             key = (doc_id is not None, doc_id or 0, row)
             if group[3] is None or key > group[3]:
                 group[3] = key
             rows.append(base + row)
-            local.append(base + at)
+            local.append(base + before + at)
             row += 1
         nothing = [None] * len(ids)
         yield out(fps, rows, ids, shas, local, nothing, nothing, nothing)
-    for start in range(0, len(groups), 1000):
-        part = groups[start : start + 1000]
-        nothing = [None] * len(part)
-        best = [{"doc_id": k[1] if k[0] else None, "row": base + k[2]} for *_, k in part]
-        yield out([g[0] for g in part], nothing, nothing, nothing, [base + start + i for i in range(len(part))], [g[1] for g in part], [g[2] for g in part], best)
+        if held > HELD_BYTES:  # a text that comes again is a further group: groups of one text meet in the verification
+            yield from sent()
+            before += len(groups)
+            known, groups, held = {}, [], 0
+    yield from sent()
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None) -> DataFrame:
@@ -198,7 +208,7 @@ SQL = """
 SELECT doc_id,
        max(doc_id) OVER w AS keep_id,
        count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept,
+       row_number() OVER (w ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW w AS (PARTITION BY coalesce(text, ''))

@@ -16,9 +16,9 @@ shorter lines have no near copies: in them one edit changes the meaning. Equal l
    line costs as many rows as it has characters and never holds its variants together.
 4. Where the bound is higher, variants lack k whole segments: a key is a choice of k of `segments` and of how each changes in
    length, with the hash of all that lies between them: a line has as many keys whatever its length, and neighbours
-   share one. Lines that share a key meet in pairs while they are few. Of keys with many lines, the text of the chosen
-   segments is cut again in the same way, so that the next keys agree in more; after `DEPTH` rounds a few characters are left.
-5. Each pair is verified by its edit distance, on the lines themselves.
+   share one. Lines that share a key are compared, in the chosen segments, while they are few. Of keys with many lines, the text of
+   these segments is cut again in the same way, so that the next keys agree in more; after `DEPTH` rounds a few characters are left.
+5. What meets is verified by its edit distance.
 
 Nulls: a null text is an empty line; a null doc_id comes after all others. Each row is a document of its own: rows are numbered
 once, rows that share a doc_id (or have none) come in the order of their numbers, and lose their own lines alone. Tables
@@ -32,7 +32,7 @@ from itertools import accumulate, combinations, product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, maybe, maybe_in, positional, spread_join, staged, table
+from tickloom.llm.common import discard, maybe, maybe_in, positional, spread_join, staged, table, tidy
 
 MIN_CHARS = 20
 EDITS = 2
@@ -40,8 +40,8 @@ EDITS = 2
 SEGMENT = 32
 #: Segments above the edits, where variants lack whole segments.
 SEGMENTS_MORE = 3
-#: Lines of a key that meet in pairs without another round, and rounds at most.
-FEW = 16
+#: Lines of a key that are compared without another round, and rounds at most.
+FEW = 64
 DEPTH = 4
 #: Places of a document's lines, and numbers of rows, in the order of lines.
 _LINES, _ROWS = 1 << 28, 1 << 34
@@ -139,40 +139,46 @@ def _choices(spark: SparkSession, edits: int) -> DataFrame:
 #: Where chosen segment i starts and ends in the shorter line, as a place from 0; what lies between them, and the segments.
 _START, _END = "cast(w[{0}] * size div m AS int)", "cast((w[{0}] + 1) * size div m AS int)"
 _BETWEEN = f"transform(sequence(0, k), i -> substring(s, 1 + IF(i = 0, 0, {_END.format('i - 1')}) + c[i], IF(i = k, size, {_START.format('i')}) - IF(i = 0, 0, {_END.format('i - 1')})))"
-_WITHIN = f"array_join(transform(sequence(0, k - 1), i -> substring(s, 1 + {_START.format('i')} + c[i], {_END.format('i')} - {_START.format('i')} + c[i + 1] - c[i])), '')"
+_WITHIN = f"transform(sequence(0, k - 1), i -> substring(s, 1 + {_START.format('i')} + c[i], {_END.format('i')} - {_START.format('i')} + c[i + 1] - c[i]))"
 
 
 def _keyed(state: DataFrame, choices: DataFrame, k: str) -> DataFrame:
-    """Rows of state (ord, of, s, and k after the first round) by choices, with size, the length of the shorter line, and key."""
+    """Rows of state (ord, h1, of, s, and k after the first round) by choices, with size, the length of the shorter line, and key."""
     each = state.withColumn("more", F.explode(F.expr("sequence(0, most)"))).withColumn("size", F.expr("cast(length(s) - more AS int)"))
     each = each.withColumn("k", F.expr(f"cast({k} AS int)")).where("size >= 0 AND more <= k").join(F.broadcast(choices), ["k", "more"])
     return each.withColumn("key", F.expr(f"xxhash64(of, k, size, w, {_BETWEEN})"))
 
 
-def _more_edits(texts: DataFrame, min_chars: int, edits: int) -> tuple[DataFrame, list[DataFrame]]:
-    """ord, partner (earlier): the pairs to verify, where the bound is two or more; and the staged tables behind it."""
+def _more_edits(texts: DataFrame, min_chars: int, edits: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """ord: lines with an earlier neighbour; ord, partner (earlier): pairs to verify; both where the bound is two or more. And the staged tables behind them."""
     choices = _choices(texts.sparkSession, edits)
-    state, k = texts.select("ord", F.lit(0).cast("long").alias("of"), F.col("line").alias("s"), F.lit(edits).alias("most")), _bound("size", min_chars, edits)
-    pairs, used = [], []
+    state, k = texts.select("ord", "h1", F.lit(0).cast("long").alias("of"), F.col("line").alias("s"), F.lit(edits).alias("most")), _bound("size", min_chars, edits)
+    # Lines of a key differ in its segments alone, so the edits of these bound those of the lines.
+    apart = f"aggregate(zip_with(x.segs, y.segs, (a, b) -> levenshtein(a, b, {edits})), 0, (n, d) -> IF(n < 0 OR d < 0, -1, n + d)) BETWEEN 0 AND k"
+    near, pairs, used = None, None, []
     for depth in range(1, DEPTH + 1):
-        keyed = _keyed(state, choices, k).select("ord", "of", "key", "choice", "k")
-        counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("least"), F.max("ord").alias("greatest")).where("least < greatest").select("key", "n")
+        keyed = _keyed(state, choices, k)
+        counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("greatest")).where("least < greatest").select("key", "n")
         counts = staged(counted, "met-keys")
-        met = staged(spread_join(maybe_in(keyed, "key", counts), counts, ["key"], "n", "ord"), "met-lines")
+        segs = maybe_in(keyed, "key", counts).select("ord", "h1", "key", "k", F.expr(_WITHIN).alias("segs"))
+        met = staged(spread_join(segs, counts, ["key"], "n", "ord"), "met-lines")
         used += [counts, met]
-        few = met if depth == DEPTH else met.where(F.col("n") <= FEW)
-        pairs.append(few.select("key", "ord").distinct().join(few.select("key", F.col("ord").alias("partner")).distinct(), "key").where("partner < ord").select("ord", "partner").distinct())
+        groups = met.where(F.col("n") <= FEW).groupBy("key").agg(F.first("k").alias("k"), F.collect_set(F.struct("ord", "segs")).alias("g"))
+        if depth == 1:
+            near = groups.select(F.explode(F.expr(f"filter(g, x -> exists(g, y -> y.ord < x.ord AND {apart}))")).alias("x")).select("x.ord").distinct()
+        else:  # segments of segments: what was between them is out of sight, so the lines themselves are verified
+            close = groups.select(F.explode(F.expr(f"flatten(transform(g, x -> transform(filter(g, y -> y.ord < x.ord AND {apart}), y -> struct(x.ord AS ord, y.ord AS partner))))")).alias("x")).select("x.*").distinct()
+            pairs = close if pairs is None else pairs.unionByName(close)
         many = met.where(F.col("n") > FEW)
-        if depth == DEPTH or many.isEmpty():
+        if many.isEmpty():
             break
-        again = many.select("ord", "of", F.col("key").alias("next"), "choice").distinct()
-        rows = again.join(state.drop("k"), ["ord", "of"]).join(F.broadcast(choices), "choice").withColumn("size", F.expr("cast(length(s) - more AS int)"))
-        state, k = staged(rows.select("ord", F.col("next").alias("of"), F.expr(_WITHIN).alias("s"), "k", F.col("k").alias("most")).distinct(), "lines-again"), "k"
+        if depth == DEPTH:  # all but a few characters agree
+            rest = many.select("key", "ord").distinct()
+            pairs = pairs.unionByName(rest.join(rest.withColumnRenamed("ord", "partner"), "key").where("partner < ord").select("ord", "partner").distinct())
+            break
+        state, k = staged(many.select("ord", "h1", F.col("key").alias("of"), F.array_join("segs", "").alias("s"), "k", F.col("k").alias("most")).distinct(), "lines-again"), "k"
         used.append(state)
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    return out.distinct(), used
+    return near, pairs, used
 
 
 def _near(lines: DataFrame, min_chars: int, edits: int) -> DataFrame:
@@ -185,14 +191,16 @@ def _near(lines: DataFrame, min_chars: int, edits: int) -> DataFrame:
     flags = (F.max(F.col("kind") == k).alias(name) for k, name in enumerate(("first", "last", "more")))
     texts = staged(hits.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), F.first("line").alias("line"), F.first("chars").alias("n"), *flags), "candidate-lines")
 
-    partners, used = _one_edit(texts.where("first OR last")), []
+    partners, known, used = _one_edit(texts.where("first OR last")), None, []
     if edits > 1:
-        further, used = _more_edits(texts.where("more"), min_chars, edits)
-        partners = partners.unionByName(further).distinct()
+        known, further, used = _more_edits(texts.where("more"), min_chars, edits)
+        partners = partners if further is None else partners.unionByName(further).distinct()
     bound = _bound("least(length(ours), length(theirs))", min_chars, edits)
     near = F.expr(" OR ".join(f"({bound} = {k} AND levenshtein(ours, theirs, {k}) >= 0)" for k in range(1, edits + 1)))
-    left, right = texts.select("ord", "h1", "h2", F.col("line").alias("ours")), texts.select(F.col("ord").alias("partner"), F.col("line").alias("theirs"))
-    out = staged(partners.join(left, "ord").join(right, "partner").where(near).select("h1", "h2").distinct(), "near-lines")
+    left, right = texts.select("ord", F.col("line").alias("ours")), texts.select(F.col("ord").alias("partner"), F.col("line").alias("theirs"))
+    close = partners.join(left, "ord").join(right, "partner").where(near).select("ord")
+    close = close.distinct() if known is None else close.unionByName(known).distinct()
+    out = staged(texts.select("ord", "h1", "h2").join(close, "ord").select("h1", "h2"), "near-lines")
     discard(shared, texts, *used)
     return out
 
@@ -210,6 +218,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int
     gone = found.select(F.shiftright(spot, 28).alias("row"), spot.bitwiseAND(F.lit(_LINES - 1)).cast("int").alias("place"))
     out = staged(gone.groupBy("row").agg(F.collect_set("place").alias("places")), "lost-lines")
     discard(near, judged)
+    tidy(docs.sparkSession)
     return out
 
 

@@ -23,6 +23,7 @@ QUERIES = {
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op3_line_dedup": line_dedup.SQL,
+    "op5_chat_format": chat_format.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
 }

@@ -114,7 +114,6 @@ class _Batch:
 
     rows: np.ndarray
     at: np.ndarray
-    of: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
     seen: np.ndarray
@@ -130,7 +129,7 @@ def _batches(at: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> list[_Bat
         ids = np.concatenate([at[bounds[i] : bounds[i + 1]] for i in rows])
         by_term = np.argsort(ids, kind="stable").astype(np.int32)
         seen, counts = np.unique(ids, return_counts=True)
-        out.append(_Batch(rows, ids, np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.r_[0, np.cumsum(sizes)[:-1]], sizes, seen, by_term, np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)))
+        out.append(_Batch(rows, ids, np.r_[0, np.cumsum(sizes)[:-1]], sizes, seen, by_term, np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)))
     return out
 
 
@@ -144,14 +143,18 @@ def fit(rows: Rows | list[list[int]], labels: np.ndarray, rank: int = RANK, epoc
     if not len(kept) or share in (0.0, 1.0):
         return Model(np.empty(0, np.int64), np.empty(0), np.empty((0, rank)), bias)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), rows.sizes)
-    at = np.searchsorted(kept, rows.flat).clip(max=len(kept) - 1).astype(np.int32)
-    present = kept[at] == rows.flat
+    number = np.full(int(kept[-1]) + 1, -1, np.int32)
+    number[kept] = np.arange(len(kept))
+    at = np.where(rows.flat <= kept[-1], number[np.minimum(rows.flat, kept[-1])], -1).astype(np.int32)
+    present = at >= 0
     at, owner = at[present], owner[present]
+    del present, number
     bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
 
     # Words that tell the classes apart in neither direction stay, for what they say beside others, but start near zero and decay by
     # as much as chance moves a mean over the rows: what they learn must be more than that.
-    ones = np.bincount(at, labels[owner], len(kept))
+    ones = np.bincount(at[labels[owner] > 0], minlength=len(kept))
+    del owner
     expected = np.bincount(at, minlength=len(kept)) * share
     telling = np.abs(ones - expected) / np.sqrt(expected * (1 - share) + 1e-9) > 3.0
     chance = CHANCE / np.sqrt(len(rows))
@@ -165,6 +168,7 @@ def fit(rows: Rows | list[list[int]], labels: np.ndarray, rank: int = RANK, epoc
     decay = np.concatenate([np.repeat(decay_v, rank, axis=1), decay_w[:, None]], axis=1)
     rate = np.r_[np.full(rank, 0.05), 0.3].astype(np.float32)
     batches, weight = _batches(at, bounds, random.permutation(len(rows))), np.where(labels > 0, ONES, 1.0)
+    del at
     for _ in range(epochs):
         for k in random.permutation(len(batches)):
             b = batches[k]
@@ -178,9 +182,10 @@ def fit(rows: Rows | list[list[int]], labels: np.ndarray, rank: int = RANK, epoc
             bias -= 0.1 * db / np.sqrt(gb)
             if not len(b.seen):
                 continue
-            pull = sums[b.of] - mine
+            of = np.repeat(np.arange(len(b.rows)), b.sizes)
+            pull = sums[of] - mine
             pull[:, rank] = 1
-            pull *= error[b.of][:, None]
+            pull *= error[of][:, None]
             # Of the words of the batch alone: the others have no gradient.
             d = np.add.reduceat(pull[b.by_term], b.term_starts, axis=0) / len(b.rows) + decay[b.seen] * p[b.seen]
             g[b.seen] += d**2
@@ -214,9 +219,10 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_ter
     so_far = kept.select("order", F.sum("n").over(Window.orderBy("order")).alias("terms")).where(F.col("terms") <= max_terms).agg(F.max("order")).first()[0]
     got = kept.where(F.col("order") <= F.lit(so_far)).toArrow() if so_far is not None else kept.limit(0).toArrow()
     discard(kept)
-    got = got.combine_chunks().sort_by("order")
-    flat = np.frombuffer(b"".join(got.column("terms").to_pylist()), np.int32)
-    return Rows(flat, got.column("n").to_numpy()), got.column("label").to_numpy().astype(np.float64)
+    at = np.argsort(got.column("order").to_numpy(), kind="stable")
+    lists = [np.frombuffer(t.as_buffer(), np.int32) for t in got.column("terms")]
+    flat = np.concatenate([np.empty(0, np.int32), *(lists[i] for i in at)])
+    return Rows(flat, got.column("n").to_numpy()[at]), got.column("label").to_numpy()[at].astype(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rank: int = RANK, max_terms: int = MAX_TERMS) -> Model:
