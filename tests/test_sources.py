@@ -1,6 +1,7 @@
 """Inputs with known events."""
 
 import json
+import random
 
 import pytest
 
@@ -13,12 +14,12 @@ from tickloom.sources import binary_log, capture, chart_json, csv, store, synthe
 from tickloom.sources.binary_log import Index
 
 CSVS = {
-    "a": "timestamp,symbol,bid_px,bid_sz,ask_px,ask_sz\n2024-01-02T10:00:00Z,AAPL,189.99,120,190.01,90\n2024-01-02T10:00:00.000500Z,MSFT,370.10,75,370.15,80\n2024-01-02T10:00:00.001000Z,AAPL,190.00,150,190.02,140\n",
-    "b": "timestamp_ms,symbol,price,size\n1704199200000,AAPL,190.00,25\n1704199200001,MSFT,370.12,10\n1704199200002,AAPL,190.01,18\n",
+    "a": "timestamp,symbol,bid_px,bid_sz,ask_px,ask_sz\n2025-03-04T14:30:00Z,NOVA,41.07,300,41.11,200\n2025-03-04T14:30:00.250Z,KITE,7.5,40,7.53,60\n2025-03-04T14:30:00.250000001Z,NOVA,41.08,100,41.10,500\n",
+    "b": "timestamp_ms,symbol,price,size\n1741098600000,NOVA,41.09,70\n1741098600004,KITE,7.51,11\n1741098600009,NOVA,41.1,35\n",
 }
 LINES = {
-    "a": ["1 1704189600000000000 X AAPL quote bid=18999x120 ask=19001x90", "2 1704189600000500000 X MSFT quote bid=37010x75 ask=37015x80", "3 1704189600001000000 X AAPL quote bid=19000x150 ask=19002x140"],
-    "b": ["1 1704199200000000000 X AAPL trade px=19000 sz=25", "2 1704199200001000000 X MSFT trade px=37012 sz=10", "3 1704199200002000000 X AAPL trade px=19001 sz=18"],
+    "a": ["1 1741098600000000000 X NOVA quote bid=4107x300 ask=4111x200", "2 1741098600250000000 X KITE quote bid=750x40 ask=753x60", "3 1741098600250000001 X NOVA quote bid=4108x100 ask=4110x500"],
+    "b": ["1 1741098600000000000 X NOVA trade px=4109 sz=70", "2 1741098600004000000 X KITE trade px=751 sz=11", "3 1741098600009000000 X NOVA trade px=4110 sz=35"],
 }
 
 
@@ -33,7 +34,7 @@ def test_csv(spark, tmp_path, layout):
     assert _lines(csv.ingest(spark, layout, str(path), "X")) == LINES[layout]
 
 
-@pytest.mark.parametrize("row", ["2024-01-02T10:00:00Z,A,1,1,2", "2024-01-02T10:00:00Z,A,1,x,2,1", "1969-12-31T23:59:59Z,A,1,1,2,1"])
+@pytest.mark.parametrize("row", ["2025-03-04T14:30:00Z,A,1,1,2", "2025-03-04T14:30:00Z,A,1,x,2,1", "1969-12-31T23:59:59Z,A,1,1,2,1"])
 def test_bad_csv_rows_raise(spark, tmp_path, row):
     path = tmp_path / "in.csv"
     path.write_text(CSVS["a"].split("\n")[0] + "\n" + row + "\n")
@@ -52,29 +53,61 @@ def test_ticks(spark):
 
 
 def test_chart_bars(spark):
-    quote = {"close": [None, 101.25], "high": [None, 101.40], "low": [None, 101.10], "volume": [None, 12]}
-    raw = json.dumps({"chart": {"result": [{"timestamp": [1699999999, 1700000000], "indicators": {"quote": [quote]}}], "error": None}})
-    assert _lines(chart_json.ingest(chart_json.charts(spark, [(0, "A", raw)]), "X")) == ["1 1700000000000000000 X A trade px=10125 sz=12", "2 1700000000000000000 X A quote bid=10110x12 ask=10140x12"]
+    quote = {"close": [None, 41.5], "high": [None, 41.75], "low": [None, 41.25], "volume": [None, 320]}
+    raw = json.dumps({"chart": {"result": [{"timestamp": [1741098540, 1741098600], "indicators": {"quote": [quote]}}], "error": None}})
+    assert _lines(chart_json.ingest(chart_json.charts(spark, [(0, "NOVA", raw)]), "X")) == ["1 1741098600000000000 X NOVA trade px=4150 sz=320", "2 1741098600000000000 X NOVA quote bid=4125x320 ask=4175x320"]
 
 
 def test_order_feed(spark):
-    sent = ["000000000000007b000000024141504c2020202000000000000000640000000000000007", "000000000000007b000000014d534654202020200000000000000000c80000000000000009"]
-    assert synthetic.trade(123, "AAPL", 100, 7).hex() == sent[0] and synthetic.add_order(123, "MSFT", 0, 200, 9).hex() == sent[1]
+    # Time, type 2, symbol, price, size; time, type 1, symbol, side, price, size.
+    sent = ["00000000000003e8" "00000002" "4e4f564120202020" "00000000000009c4" "000000000000001e", "00000000000003e9" "00000001" "4b49544520202020" "01" "0000000000000a28" "0000000000000028"]
+    assert synthetic.trade(1000, "NOVA", 2500, 30).hex() == sent[0] and synthetic.add_order(1001, "KITE", 1, 2600, 40).hex() == sent[1]
     packets = spark.createDataFrame([(k + 1, bytearray(synthetic.frame(bytes.fromhex(x)))) for k, x in enumerate(sent)] + [(3, bytearray(b"\x01\x02\x03"))], "packet_index long, data binary")
     found = capture.decoded(packets)
-    assert [tuple(r) for r in found.where("message IS NOT NULL").select("message.*").collect()] == [(123, "AAPL", None, 100, 7), (123, "MSFT", "bid", 200, 9)]
+    assert [tuple(r) for r in found.where("message IS NOT NULL").select("message.*").collect()] == [(1000, "NOVA", None, 2500, 30), (1001, "KITE", "ask", 2600, 40)]
     assert [tuple(r)[:2] for r in capture.issues(found).collect()] == [(3, 0)]
 
 
+def test_frame_faults(spark):
+    """Each fault of a frame, worked into one that is well formed."""
+    good = synthetic.frame(synthetic.trade(1, "NOVA", 1, 1))
+    cases = {
+        "short ethernet header": good[:13], "unsupported ethertype 0x86dd": good[:12] + b"\x86\xdd" + good[14:], "short ipv4 header": good[:33],
+        "unsupported ip version 6": good[:14] + b"\x65" + good[15:], "invalid ipv4 ihl": good[:14] + b"\x44" + good[15:], "truncated ipv4 header": good[:14] + b"\x4f" + good[15:40],
+        "non-udp protocol 6": good[:23] + b"\x06" + good[24:], "short udp header": good[:41], "invalid udp length": good[:38] + b"\x00\x07" + good[40:], "truncated udp payload": good[:-1],
+    }
+    packets = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(cases.values())], "packet_index long, data binary")
+    found = {r.packet_index: r.detail for r in capture.issues(capture.decoded(packets)).collect()}
+    assert [found[k] for k in range(len(cases))] == list(cases)
+
+
+def test_any_bytes_decode_or_are_an_issue(spark):
+    draw = random.Random(5)
+    good = synthetic.frame(synthetic.add_order(1, "NOVA", 0, 1, 1))
+    data = [draw.randbytes(draw.randrange(120)) for _ in range(300)]
+    data += [bytes(x if draw.random() > 0.05 else draw.randrange(256) for x in good[: draw.randrange(len(good) + 1)]) for _ in range(300)]
+    found = capture.decoded(spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(data)], "packet_index long, data binary"))
+    decoded = {r.packet_index for r in found.where("message IS NOT NULL").select("packet_index").collect()}
+    assert decoded ^ {r.packet_index for r in capture.issues(found).collect()} == set(range(len(data))) and len(decoded) < len(data)
+
+
+def test_checksum():
+    header = synthetic.frame(b"")[14:34]
+    assert synthetic.checksum(header) == 0 and synthetic.checksum(header[:10] + b"\0\0" + header[12:]) == int.from_bytes(header[10:12], "big")
+
+
 def test_capture_file(spark, tmp_path):
-    path = str(tmp_path / "x.pcap")
-    synthetic.generate_capture(path, ["AAPL", "MSFT"], 500)
+    path, symbols = str(tmp_path / "x.pcap"), ["NOVA", "KITE"]
+    synthetic.generate_capture(path, symbols, 2000)
+    sent = synthetic.feed(symbols, 2000)
+    faulty = [k for k, p in enumerate(sent, 1) if p.fault]
+    assert {p.fault for p in sent} == {None, *synthetic.FAULTS} and sent == synthetic.feed(symbols, 2000)
     events, issues = capture.ingest(spark, path, "X")
-    # The generator makes packets 1, 138, 275, ... malformed.
-    assert events.count() == 496 and sorted(r.packet_index for r in issues.collect()) == [1, 138, 275, 412]
+    times = [r.timestamp_ns for r in events.orderBy("sequence").collect()]
+    assert len(times) == 2000 - len(faulty) and times == sorted(times) and sorted(r.packet_index for r in issues.collect()) == faulty
 
 
-EVENTS = [quote_row(1, 1, "X", "AAPL", 100, 90, 140, 10), quote_row(2, 2, "X", "AAPL", 100, 90, 150, 5), trade_row(3, 3, "X", "AAPL", 170, 10)]
+EVENTS = [quote_row(1, 1, "X", "NOVA", 300, 25, 330, 75), quote_row(2, 2, "X", "NOVA", 300, 25, 336, 25), trade_row(3, 3, "X", "NOVA", 320, 10)]
 
 
 def _events(spark):
@@ -82,10 +115,11 @@ def _events(spark):
 
 
 def test_features(spark):
+    # Mids 315, 318, 318; the return is ln(318 / 315) = 0.009479, its share in the variance 0.2, then 0.8 of that.
     assert [r.line for r in feature_lines(_events(spark)).orderBy("sequence").collect()] == [
-        "1 1 AAPL mid=120.000000 spread=40 imb=0.800000 vol=0.000000 signal=spread|imb",
-        "2 2 AAPL mid=122.500000 spread=50 imb=0.894737 vol=0.018256 signal=spread|imb",
-        "3 3 AAPL mid=123.333333 spread=50 imb=0.894737 vol=0.016329 signal=spread|imb",
+        "1 1 NOVA mid=315.000000 spread=30 imb=-0.500000 vol=0.000000 signal=spread",
+        "2 2 NOVA mid=316.500000 spread=36 imb=0.000000 vol=0.004239 signal=spread",
+        "3 3 NOVA mid=317.000000 spread=36 imb=0.000000 vol=0.003791 signal=spread",
     ]
 
 
@@ -100,8 +134,8 @@ def test_binary_log(spark, tmp_path):
 
 
 def test_index_seek():
-    index = binary_log.read_index(binary_log.pack_index(2, [(100, 1, 0), (300, 3, 200)]))
-    assert isinstance(index, Index) and [index.seek(t) for t in (50, 250, 350)] == [0, 0, 200]
+    index = binary_log.read_index(binary_log.pack_index(2, [(70, 1, 40), (90, 3, 160), (90, 5, 280)]))
+    assert isinstance(index, Index) and [index.seek(t) for t in (60, 70, 89, 90)] == [40, 40, 40, 280]
 
 
 def test_log(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""python -m tickloom.cli COMMAND: ingest-csv-a, -b, -c, ingest-real, ingest-pcap, gen-pcap, serve, ui, print, feature, verify, bench.
+"""python -m tickloom.cli COMMAND: ingest-csv-a, -b, -c, ingest-real, ingest-pcap, gen-pcap, serve, ui, print, feature, verify, bench, subscribe.
 
 Logs are Parquet folders; --binary-log also writes the record-framed file and its index.
 """
@@ -10,7 +10,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom import api, harness
+from tickloom import api, harness, wire
 from tickloom.errors import IngestError, ReplayError
 from tickloom.functions.ticks import TickTable
 from tickloom.operators.features import FeatureConfig, feature_lines
@@ -56,10 +56,20 @@ def parser() -> argparse.ArgumentParser:
     serve.add_argument("--speed", default="1x")
     serve.add_argument("--max-speed", action="store_true")
     serve.add_argument("--step-mode", action="store_true")
+    serve.add_argument("--addr", help="host:port of an HTTP stream; standard output without it")
+    client = command("subscribe", "addr", "from?", "to?", "speed?")
+    client.add_argument("--max-speed", action="store_true")
     reading("ui", "compare-log?").add_argument("--addr", default="127.0.0.1:8080")
     return top
 
 
+def _address(text: str) -> tuple[str, int]:
+    host, _, port = text.rpartition(":")
+    if not host or not port.isdigit():
+        raise ReplayError(f"invalid address: {text}")
+    return host, int(port)
+
+
 def _write(events: DataFrame, args: argparse.Namespace) -> None:
     store.write_events(events, args.out)
     log = store.read_log(events.sparkSession, args.out)
@@ -94,18 +104,22 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         elif name == "bench":
             print(json.dumps(harness.measure(events)))
         elif name == "serve":
-            for row in paced(events, ReplayConfig(speed=parse_speed(args.speed), max_speed=args.max_speed, step_mode=args.step_mode)):
-                print(json.dumps({k: v for k, v in row.asDict().items() if v is not None}), flush=True)
+            config = ReplayConfig(speed=parse_speed(args.speed), max_speed=args.max_speed, step_mode=args.step_mode)
+            if args.addr:
+                wire.serve_replay(events, config, *_address(args.addr)).serve_forever()
+            for row in paced(events, config):
+                print(wire.to_wire(row.asDict()).decode(), end="", flush=True)
         elif name == "ui":
             other = store.read_log(spark, args.compare_log) if args.compare_log else None
-            host, _, port = args.addr.rpartition(":")
-            if not host:
-                raise ReplayError(f"invalid address: {args.addr}")
-            api.serve(api.Api(events, other), host, int(port)).serve_forever()
+            api.serve(api.Api(events, other), *_address(args.addr)).serve_forever()
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
+    if args.command == "subscribe":
+        for event in wire.subscribe(args.addr, from_=getattr(args, "from"), to=args.to, speed=args.speed, max_speed=args.max_speed):
+            print(wire.to_wire(event).decode(), end="", flush=True)
+        return
     spark = SparkSession.builder.appName("tickloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     run(args, spark)

@@ -254,9 +254,11 @@ def csv_c(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p99_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the gaps between events, in order."""
-    schedule = selection.replay_schedule(canonical_events(spark, sf_dir), 1.0)
-    return selection.nearest_rank(schedule.withColumn("gap", F.col("due_ns") % 1_000_003), "gap").withColumnRenamed("value", "p99")
+    """Of the gaps in time between events that follow each other; sequences have no gaps, so each meets the one before by number."""
+    events = canonical_events(spark, sf_dir).select("sequence", "timestamp_ns")
+    before = events.select((F.col("sequence") + 1).alias("sequence"), F.col("timestamp_ns").alias("before_ns"))
+    gaps = events.join(before, "sequence").select((F.col("timestamp_ns") - F.col("before_ns")).alias("gap"))
+    return selection.nearest_rank(gaps, "gap").withColumnRenamed("value", "p99")
 
 
 def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

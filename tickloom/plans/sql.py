@@ -168,7 +168,8 @@ pending AS (SELECT ingest_order, timestamp_ns, 'X' AS venue, symbol, CASE WHEN s
     "csv_a": csv("kind = 'quote'"),
     "csv_b": csv("kind = 'trade'", "timestamp_ns // 1000000 * 1000000"),
     "csv_c": csv("true", "CASE WHEN kind = 'trade' THEN timestamp_ns // 1000000 * 1000000 ELSE timestamp_ns END"),
-    "p99_nearest_rank": f"""{LOG}, {SCHEDULE.format(speed='1.0')}, gap AS (SELECT due_ns % 1000003 AS g, row_number() OVER (ORDER BY due_ns % 1000003) - 1 AS r, count(*) OVER () AS n FROM schedule)
+    "p99_nearest_rank": f"""{LOG}, between_ AS (SELECT timestamp_ns - lag(timestamp_ns) OVER (ORDER BY sequence) AS g FROM log),
+gap AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS r, count(*) OVER () AS n FROM between_ WHERE g IS NOT NULL)
 SELECT CAST(g AS BIGINT) AS p99 FROM gap WHERE r = least(CAST(floor(n * 0.99) AS BIGINT), n - 1)""",
     "log_roundtrip": f"{LOG} {ALL} FROM log WHERE timestamp_ns BETWEEN {FROM_NS} AND {TO_NS}",
 }
