@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from tickloom.llm.common import staged, table, tidy
+from tickloom.llm.common import discard, staged, table, tidy
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,14 +56,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: Learned scores and seeded rounding are beyond SQL; the tests check the columns and row count of the stages, and no end-to-end brute force.
+#: Learned scores and seeded rounding are beyond SQL; the tests hold all stages against brute force, one after another, and the whole run.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*(F.col(c) for c in COLUMNS))
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
 
 
