@@ -133,6 +133,18 @@ def test_binary_log(spark, tmp_path):
         list(binary_log.records(bytes(raw)))
 
 
+def test_read_indexed(spark, tmp_path):
+    """Any range, with ties at a stride's edge, from the strides that it touches alone."""
+    times, path = [10, 20, 20, 20, 20, 30, 45, 45, 60], str(tmp_path / "x.log")
+    rows = [trade_row(k, t, "X", "NOVA", k, 1) for k, t in enumerate(times, 1)]
+    binary_log.write_binary_log(spark.createDataFrame(rows, _events(spark).schema), path, 2)
+    for low, high in ((None, None), (20, 20), (21, 44), (45, 45), (60, 99), (None, 9), (61, None), (11, None)):
+        want = [r[0] for r in rows if (low is None or r[1] >= low) and (high is None or r[1] <= high)]
+        got = binary_log.read_indexed(spark, path, low, high)
+        assert sorted(r.sequence for r in got.collect()) == want
+    assert {tuple(r) for r in binary_log.read_indexed(spark, path).collect()} == {tuple(r) for r in binary_log.read_binary_log(spark, path).collect()}
+
+
 def test_index_seek():
     index = binary_log.read_index(binary_log.pack_index(2, [(70, 1, 40), (90, 3, 160), (90, 5, 280)]))
     assert isinstance(index, Index) and [index.seek(t) for t in (60, 70, 89, 90)] == [40, 40, 40, 280]

@@ -13,10 +13,11 @@ from pathlib import Path
 from zlib import crc32
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.errors import ChecksumError, StorageError
-from tickloom.operators.selection import INDEX_STRIDE
+from tickloom.operators.selection import INDEX_STRIDE, read_events
 from tickloom.schema import BOOK_FIELDS, COLUMNS, QUOTE, TRADE, TRADE_FIELDS
 from tickloom.sources.store import VERSION, schema_hash
 
@@ -160,25 +161,57 @@ def write_binary_log(events: DataFrame, path: str, stride: int = INDEX_STRIDE) -
 LOGGED = "byte_offset long, sequence long, timestamp_ns long, venue string, symbol string, kind string, price_ticks long, size long, bid_px long, bid_sz long, ask_px long, ask_sz long"
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _events(content: bytes, start: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Events of a whole log, or of a part of it without the header that begins at byte `start`."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 6]
     names = ["byte_offset", *COLUMNS]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+    rows: list[tuple] = []
+    for offset, event in records(content, None if start is None else 0):
+        rows.append((offset + (start or 0), *(event[c] for c in COLUMNS)))
+        if len(rows) == 20_000:
+            yield out(rows)
+            rows = []
+    if rows:
+        yield out(rows)
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            rows: list[tuple] = []
-            for offset, event in records(content.as_py()):
-                rows.append((offset, *(event[c] for c in COLUMNS)))
-                if len(rows) == 20_000:
-                    yield out(rows)
-                    rows = []
-            if rows:
-                yield out(rows)
+            yield from _events(content.as_py())
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end"))):
+            system, inside = _filesystem(path)
+            with system.open_input_file(inside) as log:
+                yield from _events(log.read_at(end - start, start), start)
 
 
 def read_binary_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events of one or more log files with their byte offsets, a task for each file."""
+    """Events of one or more log files with their byte offsets, a task for each file; for large logs with an index see read_indexed()."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_decode, LOGGED)
+
+
+def read_indexed(spark: SparkSession, path: str, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:
+    """Events of one log of any size with their byte offsets, by way of its index: tasks seek to the strides that the range touches and read no others.
+
+    The log's times ascend, as its writer orders it. A log without entries has no events.
+    """
+    system, inside = _filesystem(path)
+    with system.open_input_file(index_path(inside)) as f:
+        entries = read_index(f.read()).entries
+    size = system.get_file_info(inside).size
+    ends = [*((ts, at) for ts, _, at in entries[1:]), (None, size)]
+    wanted = [(path, at, end) for (ts, _, at), (after, end) in zip(entries, ends) if (to_ns is None or ts <= to_ns) and (from_ns is None or after is None or after >= from_ns)]
+    ranges = spark.createDataFrame(wanted, "path string, start long, end long").repartition(max(1, min(len(wanted), 4 * spark.sparkContext.defaultParallelism)))
+    return read_events(ranges.mapInArrow(_read_ranges, LOGGED), from_ns, to_ns)
