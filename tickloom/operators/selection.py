@@ -82,7 +82,8 @@ def nearest_rank(df: DataFrame, value: str, share: float = 0.99) -> DataFrame:
     """The long `value` at the 0-based rank floor(n * share), n - 1 at most; 0 for no rows. Null values do not count.
 
     A search by histogram: counts of equal buckets from the least to the greatest value, then of the one bucket that holds the rank, until it
-    is one value wide. No task sees more than its partition, and seven steps are enough for any long.
+    is one value wide. No task sees more than its partition, and seven steps are enough for any long. df is read at each step, so its values
+    must not change.
     """
     spark, v = df.sparkSession, F.col(value)
     low, high, total = df.agg(F.min(v), F.max(v), F.count(v)).first()
