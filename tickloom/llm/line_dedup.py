@@ -14,10 +14,11 @@ shorter lines have no near copies: in them one edit changes the meaning. Equal l
    earliest line of a key is of interest, so no key makes pairs of all its lines. Variants differ from their
    line in one segment of `SEGMENT` characters, and what lies before and behind it is hashed once for each segment: a
    line costs as many rows as it has characters and never holds its variants together.
-4. Where the bound is higher, variants lack k whole segments: a key is a choice of k of `segments` and of how each changes in
-   length, with the hash of all that lies between them: a line has as many keys whatever its length, and neighbours
-   share one. Lines that share a key are compared, in the chosen segments, while they are few. Of keys with many lines, the text of
-   these segments is cut again in the same way, so that the next keys agree in more; after `DEPTH` rounds a few characters are left.
+4. Where the bound is higher, variants lack whole segments: a key is a choice of at most k of `segments`, those that the edits touch, and of how each
+   changes in length, with the hash of all that lies between them: a line has as many keys whatever its length, and neighbours
+   share one. Lines that share a key are compared, in the chosen segments, while they are few. Of keys with many lines, where k segments are chosen
+   each has one edit: rows stay only if in every segment another line of the key has a text one edit away, told as in 3. Of what
+   is left the text of the segments is cut again in the same way, so that the next keys agree in more; after `DEPTH` rounds a few characters are left.
 5. What meets is verified by its edit distance.
 
 Nulls: a null text is an empty line; a null doc_id comes after all others. Each row is a document of its own: rows are numbered
@@ -125,21 +126,24 @@ def _one_edit(texts: DataFrame) -> DataFrame:
 
 
 def _choices(spark: SparkSession, edits: int) -> DataFrame:
-    """k, more (length above the shorter line's), choice, m, w (segments), c (how far what follows each has moved, from 0 on)."""
+    """k, t (segments that the edits touch, each by one at least), more (length above the shorter line's), choice, m, w (the segments), c (how far
+    what follows each has moved, from 0 on). Of two lines as long as each other either can be the shorter: up to three edits, the one that loses a
+    character first."""
     rows = []
     for k in range(2, edits + 1):
         m = k + SEGMENTS_MORE
-        for w in combinations(range(m), k):
-            for d in product(range(-k, k + 1), repeat=k):
-                if sum(map(abs, d)) <= k and sum(d) >= 0:
-                    rows.append((k, sum(d), len(rows), m, list(w), [0, *accumulate(d)]))
-    return spark.createDataFrame(rows, "k int, more int, choice int, m int, w array<int>, c array<int>")
+        for t in range(1, k + 1):
+            for w in combinations(range(m), t):
+                for d in product(range(-k, k + 1), repeat=t):
+                    if sum(max(1, abs(x)) for x in d) <= k and (sum(d) > 0 or (sum(d) == 0 and (k > 3 or d >= (0,) * t))):
+                        rows.append((k, t, sum(d), len(rows), m, list(w), [0, *accumulate(d)]))
+    return spark.createDataFrame(rows, "k int, t int, more int, choice int, m int, w array<int>, c array<int>")
 
 
 #: Where chosen segment i starts and ends in the shorter line, as a place from 0; what lies between them, and the segments.
 _START, _END = "cast(w[{0}] * size div m AS int)", "cast((w[{0}] + 1) * size div m AS int)"
-_BETWEEN = f"transform(sequence(0, k), i -> substring(s, 1 + IF(i = 0, 0, {_END.format('i - 1')}) + c[i], IF(i = k, size, {_START.format('i')}) - IF(i = 0, 0, {_END.format('i - 1')})))"
-_WITHIN = f"transform(sequence(0, k - 1), i -> substring(s, 1 + {_START.format('i')} + c[i], {_END.format('i')} - {_START.format('i')} + c[i + 1] - c[i]))"
+_BETWEEN = f"transform(sequence(0, t), i -> substring(s, 1 + IF(i = 0, 0, {_END.format('i - 1')}) + c[i], IF(i = t, size, {_START.format('i')}) - IF(i = 0, 0, {_END.format('i - 1')})))"
+_WITHIN = f"transform(sequence(0, t - 1), i -> substring(s, 1 + {_START.format('i')} + c[i], {_END.format('i')} - {_START.format('i')} + c[i + 1] - c[i]))"
 
 
 def _keyed(state: DataFrame, choices: DataFrame, k: str) -> DataFrame:
@@ -149,6 +153,44 @@ def _keyed(state: DataFrame, choices: DataFrame, k: str) -> DataFrame:
     return each.withColumn("key", F.expr(f"xxhash64(of, k, size, w, {_BETWEEN})"))
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """key, n: keys that two lines have, and how many rows; staged."""
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("greatest"))
+    return staged(counted.where("least < greatest").select("key", "n"), "met-keys")
+
+
+def _alike(texts: DataFrame) -> DataFrame:
+    """h: hashes of (key, x) of the texts x (staged) from which another of their key is one edit away, told from variants without a character; staged."""
+    # A replaced character: equal variants at one place. One put in: a variant that is another's whole text.
+    at = texts.select(F.xxhash64("key", "x").alias("h"), "key", "x", F.explode(F.expr("sequence(0, length(x))")).alias("at")).withColumn("whole", F.expr("at = length(x)"))
+    lacks = at.withColumn("lacks", F.expr("concat(substring(x, 1, at), substring(x, at + 2))"))
+    both = "filter(array(IF(whole, NULL, struct(xxhash64(key, at, lacks) AS key, CAST(NULL AS boolean) AS whole)), struct(xxhash64(key, -1, lacks) AS key, whole)), v -> v IS NOT NULL)"
+    keyed = lacks.select("h", F.explode(F.expr(both)).alias("v")).select("h", "v.*")
+    sums = (F.min("h").alias("least"), F.max("h").alias("greatest"), F.min("whole").alias("some_lack"), F.max("whole").alias("some_whole"))
+    shared = staged(keyed.groupBy("key").agg(*sums).where("least < greatest AND (some_whole IS NULL OR (some_whole AND NOT some_lack))").select("key"), "near-variants")
+    out = staged(maybe_in(keyed, "key", shared).join(shared.hint("merge"), "key", "left_semi").select("h").distinct(), "near-segments")
+    discard(shared)
+    return out
+
+
+def _possible(hot: DataFrame, edits: int) -> DataFrame:
+    """Of the rows of hot keys those that can have a partner there, with n counted anew; staged.
+
+    Where as many segments as edits are chosen, each differs by one edit: in each a line of the same key has a text one edit away.
+    """
+    rows = hot.drop("n")
+    for j in range(edits):
+        texts = staged(rows.where(f"t = k AND t > {j}").select("key", F.col("segs")[j].alias("x")).distinct(), "segments")
+        alike, before = _alike(texts), rows
+        flagged = maybe(rows.withColumn("h", F.expr(f"IF(t > {j}, xxhash64(key, segs[{j}]), NULL)")), "h", alike)
+        rows = staged(flagged.where(f"t < k OR t <= {j} OR __maybe").drop("h", "__maybe"), "possible-lines")
+        discard(texts, alike, before)
+    counts = _several(rows)
+    left = staged(spread_join(maybe_in(rows, "key", counts), counts, ["key"], "n", "ord"), "met-lines")
+    discard(rows, counts)
+    return left
+
+
 def _more_edits(texts: DataFrame, min_chars: int, edits: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """ord: lines with an earlier neighbour; ord, partner (earlier): pairs to verify; both where the bound is two or more. And the staged tables behind them."""
     choices = _choices(texts.sparkSession, edits)
@@ -158,19 +200,25 @@ def _more_edits(texts: DataFrame, min_chars: int, edits: int) -> tuple[DataFrame
     near, pairs, used = None, None, []
     for depth in range(1, DEPTH + 1):
         keyed = _keyed(state, choices, k)
-        counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("greatest")).where("least < greatest").select("key", "n")
-        counts = staged(counted, "met-keys")
-        segs = maybe_in(keyed, "key", counts).select("ord", "h1", "key", "k", F.expr(_WITHIN).alias("segs"))
+        counts = _several(keyed)
+        segs = maybe_in(keyed, "key", counts).select("ord", "h1", "key", "k", "t", F.expr(_WITHIN).alias("segs"))
         met = staged(spread_join(segs, counts, ["key"], "n", "ord"), "met-lines")
-        used += [counts, met]
-        groups = met.where(F.col("n") <= FEW).groupBy("key").agg(F.first("k").alias("k"), F.collect_set(F.struct("ord", "segs")).alias("g"))
+        discard(counts)
+        used.append(met)
+        few, many = met.where(F.col("n") <= FEW), met.where(F.col("n") > FEW)
+        ends = many.isEmpty()
+        if not ends:
+            left = _possible(many, edits)
+            used.append(left)
+            few, many = few.unionByName(left.where(F.col("n") <= FEW)), left.where(F.col("n") > FEW)
+            ends = many.isEmpty()
+        groups = few.groupBy("key").agg(F.first("k").alias("k"), F.collect_set(F.struct("ord", "segs")).alias("g"))
         if depth == 1:
             near = groups.select(F.explode(F.expr(f"filter(g, x -> exists(g, y -> y.ord < x.ord AND {apart}))")).alias("x")).select("x.ord").distinct()
         else:  # segments of segments: what was between them is out of sight, so the lines themselves are verified
             close = groups.select(F.explode(F.expr(f"flatten(transform(g, x -> transform(filter(g, y -> y.ord < x.ord AND {apart}), y -> struct(x.ord AS ord, y.ord AS partner))))")).alias("x")).select("x.*").distinct()
             pairs = close if pairs is None else pairs.unionByName(close)
-        many = met.where(F.col("n") > FEW)
-        if many.isEmpty():
+        if ends:
             break
         if depth == DEPTH:  # all but a few characters agree
             rest = many.select("key", "ord").distinct()
