@@ -28,6 +28,7 @@ may be empty, and further columns may have any name. Texts that lose no line com
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -191,42 +192,44 @@ def _possible(hot: DataFrame, edits: int) -> DataFrame:
     return left
 
 
-def _more_edits(texts: DataFrame, min_chars: int, edits: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """ord: lines with an earlier neighbour; ord, partner (earlier): pairs to verify; both where the bound is two or more. And the staged tables behind them."""
+def _more_edits(texts: DataFrame, min_chars: int, edits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """ord: lines with an earlier neighbour; tables of ord, partner (earlier): pairs to verify; both where the bound is two or more, and staged."""
     choices = _choices(texts.sparkSession, edits)
     state, k = texts.select("ord", "h1", F.lit(0).cast("long").alias("of"), F.col("line").alias("s"), F.lit(edits).alias("most")), _bound("size", min_chars, edits)
     # Lines of a key differ in its segments alone, so the edits of these bound those of the lines.
     apart = f"aggregate(zip_with(x.segs, y.segs, (a, b) -> levenshtein(a, b, {edits})), 0, (n, d) -> IF(n < 0 OR d < 0, -1, n + d)) BETWEEN 0 AND k"
-    near, pairs, used = None, None, []
+    near, pairs = None, []
     for depth in range(1, DEPTH + 1):
         keyed = _keyed(state, choices, k)
         counts = _several(keyed)
         segs = maybe_in(keyed, "key", counts).select("ord", "h1", "key", "k", "t", F.expr(_WITHIN).alias("segs"))
         met = staged(spread_join(segs, counts, ["key"], "n", "ord"), "met-lines")
-        discard(counts)
-        used.append(met)
         few, many = met.where(F.col("n") <= FEW), met.where(F.col("n") > FEW)
-        ends = many.isEmpty()
+        ends, left = many.isEmpty(), met
         if not ends:
             left = _possible(many, edits)
-            used.append(left)
             few, many = few.unionByName(left.where(F.col("n") <= FEW)), left.where(F.col("n") > FEW)
             ends = many.isEmpty()
         groups = few.groupBy("key").agg(F.first("k").alias("k"), F.collect_set(F.struct("ord", "segs")).alias("g"))
         if depth == 1:
             near = groups.select(F.explode(F.expr(f"filter(g, x -> exists(g, y -> y.ord < x.ord AND {apart}))")).alias("x")).select("x.ord").distinct()
+            near = staged(near, "near-ones")
         else:  # segments of segments: what was between them is out of sight, so the lines themselves are verified
             close = groups.select(F.explode(F.expr(f"flatten(transform(g, x -> transform(filter(g, y -> y.ord < x.ord AND {apart}), y -> struct(x.ord AS ord, y.ord AS partner))))")).alias("x")).select("x.*").distinct()
-            pairs = close if pairs is None else pairs.unionByName(close)
+            pairs.append(staged(close, "near-pairs"))
+        last = [state] if depth > 1 else []
         if ends:
+            discard(counts, met, left, *last)
             break
         if depth == DEPTH:  # all but a few characters agree
             rest = many.select("key", "ord").distinct()
-            pairs = pairs.unionByName(rest.join(rest.withColumnRenamed("ord", "partner"), "key").where("partner < ord").select("ord", "partner").distinct())
+            pairs.append(staged(rest.join(rest.withColumnRenamed("ord", "partner"), "key").where("partner < ord").select("ord", "partner").distinct(), "near-pairs"))
+            discard(counts, met, left, *last)
             break
         state, k = staged(many.select("ord", "h1", F.col("key").alias("of"), F.array_join("segs", "").alias("s"), "k", F.col("k").alias("most")).distinct(), "lines-again"), "k"
-        used.append(state)
-    return near, pairs, used
+        discard(counts, met, left, *last)
+        tidy(texts.sparkSession)
+    return near, pairs
 
 
 def _near(lines: DataFrame, min_chars: int, edits: int) -> DataFrame:
@@ -241,8 +244,8 @@ def _near(lines: DataFrame, min_chars: int, edits: int) -> DataFrame:
 
     partners, known, used = _one_edit(texts.where("first OR last")), None, []
     if edits > 1:
-        known, further, used = _more_edits(texts.where("more"), min_chars, edits)
-        partners = partners if further is None else partners.unionByName(further).distinct()
+        known, further = _more_edits(texts.where("more"), min_chars, edits)
+        partners, used = reduce(DataFrame.unionByName, further, partners).distinct(), [known, *further]
     bound = _bound("least(length(ours), length(theirs))", min_chars, edits)
     near = F.expr(" OR ".join(f"({bound} = {k} AND levenshtein(ours, theirs, {k}) >= 0)" for k in range(1, edits + 1)))
     left, right = texts.select("ord", F.col("line").alias("ours")), texts.select(F.col("ord").alias("partner"), F.col("line").alias("theirs"))
