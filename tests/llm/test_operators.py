@@ -180,6 +180,18 @@ def test_line_dedup_edit_bounds(spark, monkeypatch, edits, few):
     assert [r.n_removed for r in sorted(got)] == [int(g) for g in gone] and sum(gone) > 10
 
 
+def test_line_dedup_numbered_lines(spark, monkeypatch):
+    """Long lines that differ in a number alone: keys stay full until they agree in all but a few characters."""
+    monkeypatch.setattr(line_dedup, "FEW", 4)
+    random = np.random.default_rng(12)
+    start, end = ("".join(random.choice(list("abcdefgh "), n)) for n in (200, 300))
+    numbers = [str(n) for n in random.permutation(np.r_[random.choice(10**7, 40, replace=False), 123_000 + random.choice(1000, 40, replace=False)])]
+    gone = [any(_edits(x, y) <= 2 for y in numbers[:k]) for k, x in enumerate(numbers)]
+    docs = _ids(spark, doc_id=list(range(len(numbers))), text=[f"{start}#{n}#{end}" for n in numbers])
+    got = line_dedup.dedup_lines(docs, edits=2).collect()
+    assert [r.n_removed for r in sorted(got)] == [int(g) for g in gone] and 15 < sum(gone) < 70
+
+
 def test_line_dedup_long_lines(spark):
     """Long near copies: keys take memory in proportion to a line, not to its square."""
     line = "".join(np.random.default_rng(6).choice(list("abcdefgh "), 60_000))

@@ -18,7 +18,8 @@ shorter lines have no near copies: in them one edit changes the meaning. Equal l
    changes in length, with the hash of all that lies between them: a line has as many keys whatever its length, and neighbours
    share one. Lines that share a key are compared, in the chosen segments, while they are few. Of keys with many lines, where k segments are chosen
    each has one edit: rows stay only if in every segment another line of the key has a text one edit away, told as in 3. Of what
-   is left the text of the segments is cut again in the same way, so that the next keys agree in more; after `DEPTH` rounds a few characters are left.
+   is left the text of the segments is cut again in the same way, so that the next keys agree in more, until lines of a key differ in no more than twice as many
+   characters as edits: there are only so many such lines, whatever the table's size.
 5. What meets is verified by its edit distance.
 
 Nulls: a null text is an empty line; a null doc_id comes after all others. Each row is a document of its own: rows are numbered
@@ -29,7 +30,7 @@ may be empty, and further columns may have any name. Texts that lose no line com
 from __future__ import annotations
 
 from functools import reduce
-from itertools import accumulate, combinations, product
+from itertools import accumulate, combinations, count, product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,9 +43,8 @@ EDITS = 2
 SEGMENT = 32
 #: Segments above the edits, where variants lack whole segments.
 SEGMENTS_MORE = 3
-#: Lines of a key that are compared without another round, and rounds at most.
+#: Lines of a key that are compared without another round.
 FEW = 64
-DEPTH = 4
 #: Places of a document's lines, and numbers of rows, in the order of lines.
 _LINES, _ROWS = 1 << 28, 1 << 34
 
@@ -148,16 +148,17 @@ _WITHIN = f"transform(sequence(0, t - 1), i -> substring(s, 1 + {_START.format('
 
 
 def _keyed(state: DataFrame, choices: DataFrame, k: str) -> DataFrame:
-    """Rows of state (ord, h1, of, s, and k after the first round) by choices, with size, the length of the shorter line, and key."""
-    each = state.withColumn("more", F.explode(F.expr("sequence(0, most)"))).withColumn("size", F.expr("cast(length(s) - more AS int)"))
-    each = each.withColumn("k", F.expr(f"cast({k} AS int)")).where("size >= 0 AND more <= k").join(F.broadcast(choices), ["k", "more"])
+    """Rows of state (ord, h1, of, s, more, and k after the first round) by choices, with size, the length of the shorter line, plain (as the shorter
+    line has it: nothing has moved) and key."""
+    each = state.withColumn("size", F.expr("cast(length(s) - more AS int)")).withColumn("k", F.expr(f"cast({k} AS int)"))
+    each = each.where("size >= 0 AND more <= k").join(F.broadcast(choices), ["k", "more"]).withColumn("plain", F.expr("forall(c, x -> x = 0)"))
     return each.withColumn("key", F.expr(f"xxhash64(of, k, size, w, {_BETWEEN})"))
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """key, n: keys that two lines have, and how many rows; staged."""
-    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("greatest"))
-    return staged(counted.where("least < greatest").select("key", "n"), "met-keys")
+    """key, n: keys that two lines have, one of them as the shorter, and how many rows; staged."""
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("greatest"), F.max("plain").alias("plain"))
+    return staged(counted.where("least < greatest AND plain").select("key", "n"), "met-keys")
 
 
 def _alike(texts: DataFrame) -> DataFrame:
@@ -186,6 +187,7 @@ def _possible(hot: DataFrame, edits: int) -> DataFrame:
         flagged = maybe(rows.withColumn("h", F.expr(f"IF(t > {j}, xxhash64(key, segs[{j}]), NULL)")), "h", alike)
         rows = staged(flagged.where(f"t < k OR t <= {j} OR __maybe").drop("h", "__maybe"), "possible-lines")
         discard(texts, alike, before)
+        tidy(hot.sparkSession)
     counts = _several(rows)
     left = staged(spread_join(maybe_in(rows, "key", counts), counts, ["key"], "n", "ord"), "met-lines")
     discard(rows, counts)
@@ -195,14 +197,14 @@ def _possible(hot: DataFrame, edits: int) -> DataFrame:
 def _more_edits(texts: DataFrame, min_chars: int, edits: int) -> tuple[DataFrame, list[DataFrame]]:
     """ord: lines with an earlier neighbour; tables of ord, partner (earlier): pairs to verify; both where the bound is two or more, and staged."""
     choices = _choices(texts.sparkSession, edits)
-    state, k = texts.select("ord", "h1", F.lit(0).cast("long").alias("of"), F.col("line").alias("s"), F.lit(edits).alias("most")), _bound("size", min_chars, edits)
+    state, k = texts.select("ord", "h1", F.lit(0).cast("long").alias("of"), F.col("line").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("more")), _bound("size", min_chars, edits)
     # Lines of a key differ in its segments alone, so the edits of these bound those of the lines.
     apart = f"aggregate(zip_with(x.segs, y.segs, (a, b) -> levenshtein(a, b, {edits})), 0, (n, d) -> IF(n < 0 OR d < 0, -1, n + d)) BETWEEN 0 AND k"
     near, pairs = None, []
-    for depth in range(1, DEPTH + 1):
+    for depth in count(1):
         keyed = _keyed(state, choices, k)
         counts = _several(keyed)
-        segs = maybe_in(keyed, "key", counts).select("ord", "h1", "key", "k", "t", F.expr(_WITHIN).alias("segs"))
+        segs = maybe_in(keyed, "key", counts).select("ord", "h1", "key", "k", "t", "more", "plain", F.expr(_WITHIN).alias("segs"))
         met = staged(spread_join(segs, counts, ["key"], "n", "ord"), "met-lines")
         few, many = met.where(F.col("n") <= FEW), met.where(F.col("n") > FEW)
         ends, left = many.isEmpty(), met
@@ -221,12 +223,13 @@ def _more_edits(texts: DataFrame, min_chars: int, edits: int) -> tuple[DataFrame
         if ends:
             discard(counts, met, left, *last)
             break
-        if depth == DEPTH:  # all but a few characters agree
-            rest = many.select("key", "ord").distinct()
-            pairs.append(staged(rest.join(rest.withColumnRenamed("ord", "partner"), "key").where("partner < ord").select("ord", "partner").distinct(), "near-pairs"))
-            discard(counts, met, left, *last)
-            break
-        state, k = staged(many.select("ord", "h1", F.col("key").alias("of"), F.array_join("segs", "").alias("s"), "k", F.col("k").alias("most")).distinct(), "lines-again"), "k"
+        # The shorter line of a key stays the shorter one: of a pair it is in the next keys as it is. `settled` is by key, of its characters.
+        settled, s = F.expr("aggregate(segs, 0, (n, x) -> n + length(x)) - more <= 2 * k"), F.array_join("segs", "")
+        rest = many.where(settled).select("key", "k", "ord", "segs").distinct()
+        earlier = rest.select("key", F.col("ord").alias("partner"), "segs")
+        close = rest.alias("x").join(earlier.alias("y"), "key").where(f"partner < ord AND {apart}").select("ord", "partner").distinct()
+        pairs.append(staged(close, "near-pairs"))
+        state, k = staged(many.where(~settled).select("ord", "h1", F.col("key").alias("of"), s.alias("s"), "more", "k").distinct(), "lines-again"), "k"
         discard(counts, met, left, *last)
         tidy(texts.sparkSession)
     return near, pairs
